@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from roadloom.llm.jaccard_join import op7_jaccard_join
 from roadloom.llm.mixing import op4_mixing
 from roadloom.llm.quality_rules import op2_quality_rules
 from roadloom.llm.secret_scan import op1_secret_scan
 from roadloom.llm.sharding import op10_sharding
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}

@@ -137,8 +137,14 @@ def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return joined.select(*(F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
 
 
-def has_words(text: Column) -> Column:
-    return text.rlike(r"[^\x20\x09-\x0D]")
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs (with their columns alone) with cut texts; documents that lost lines and have no word left are dropped, n_chars follows the text."""
+    out = deduped(docs, least_words)
+    out = out.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        cut = F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", cut)
+    return out.select(*docs.columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

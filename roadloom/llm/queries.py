@@ -5,6 +5,7 @@ from __future__ import annotations
 from roadloom.llm.jaccard_join import op7_jaccard_join
 from roadloom.llm.line_dedup import op3_line_dedup
 from roadloom.llm.mixing import op4_mixing
+from roadloom.llm.packing import op5_packing
 from roadloom.llm.quality_rules import op2_quality_rules
 from roadloom.llm.secret_scan import op1_secret_scan
 from roadloom.llm.sharding import op10_sharding
@@ -12,5 +13,5 @@ from roadloom.llm.topk_search import op9_topk_search
 from roadloom.llm.toxicity import op8_toxicity
 from roadloom.llm.url_filter import op6_url_filter
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op8_toxicity": op8_toxicity, "op6_url_filter": op6_url_filter, "op9_topk_search": op9_topk_search, "op7_jaccard_join": op7_jaccard_join, "op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op5_packing": op5_packing, "op3_line_dedup": op3_line_dedup, "op8_toxicity": op8_toxicity, "op6_url_filter": op6_url_filter, "op9_topk_search": op9_topk_search, "op7_jaccard_join": op7_jaccard_join, "op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
 ORACLE_SQL: dict[str, str] = {}

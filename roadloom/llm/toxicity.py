@@ -16,7 +16,7 @@ grade; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +34,14 @@ BEGINNINGS = (4, 5, 6)
 LEAST_DOCUMENTS, LEAST_Z = 3, 4.0
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+def features_of(word: str) -> list[int]:
+    """A word's features, hashed to SPACE_BITS bits."""
+    names = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << SPACE_BITS) - 1) for x in names]
+
+
+def document_features(text: str | None) -> np.ndarray:
+    return np.unique(np.array([x for w in words_of(text) for x in features_of(w)], np.int32))
 
 
 def words_of(text: str | None) -> set[str]:
@@ -44,7 +50,7 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]
     cuts: list[float]
 
     def severity(self, score: float) -> tuple[float, float, int]:
@@ -85,33 +91,35 @@ def ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, n_grades: in
     return theta[:width], theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    sets = [words_of(t) for t in texts]
+def fit(docs: list[np.ndarray], toxic: list[int]) -> Model:
+    """docs: each labelled document's features."""
     label = np.array(toxic, int)
-    seen = {1: Counter(), 0: Counter()}
-    docs = []
-    for s, y in zip(sets, toxic, strict=True):
-        f = {x for w in s for x in features_of(w)}
-        docs.append(f)
-        seen[y].update(f)
-    n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    z = {}
-    for f in set(seen[1]) | set(seen[0]):
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= LEAST_DOCUMENTS:
-            odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-            share = (a + b) / (n1 + n0)
-            gain = sum(x * np.log(x / (share * n)) for x, n in ((a, n1), (b, n0)) if x) + sum((n - x) * np.log((n - x) / ((1 - share) * n)) for x, n in ((a, n1), (b, n0)) if n > x and share < 1)
-            z[f] = (np.sqrt(max(0.0, 2 * gain)), odds)
-    chosen = sorted((f for f in z if abs(z[f][1]) > 2 and z[f][0] > LEAST_Z), key=lambda f: (-z[f][0], f))[:FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    telling = {f for f in chosen if z[f][1] > 3}
-    counts = np.array([sum(any(f in telling for f in features_of(w)) for w in s) for s in sets])
+    seen = [np.zeros(1 << SPACE_BITS, np.int32), np.zeros(1 << SPACE_BITS, np.int32)]
+    for f, y in zip(docs, toxic, strict=True):
+        seen[y][f] += 1
+    n = [max(1, int((label == y).sum())) for y in (0, 1)]
+    able = np.flatnonzero(seen[0] + seen[1] >= LEAST_DOCUMENTS)
+    b, a = seen[0][able].astype(float), seen[1][able].astype(float)
+    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+    share = (a + b) / sum(n)
+
+    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    gain = 2 * (part(a, share * n[1]) + part(b, share * n[0]) + part(n[1] - a, (1 - share) * n[1]) + part(n[0] - b, (1 - share) * n[0]))
+    strength = np.sqrt(np.maximum(0.0, gain))
+    keep = np.flatnonzero((np.abs(odds) > 2) & (strength > LEAST_Z))
+    keep = keep[np.lexsort((able[keep], -strength[keep]))][:FEATURES]
+    chosen = able[keep]
+    place = np.full(1 << SPACE_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    telling = np.concatenate((odds[keep] > 3, [False]))
+    rows = [(r := place[f])[r >= 0].astype(np.int64) for f in docs]
+    counts = np.array([int(telling[r].sum()) for r in rows])
     edges = np.quantile(counts[label == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)]) if label.any() else []
     grades = np.where(label == 1, 1 + sum((counts > e).astype(int) for e in edges), 0)
-    rows = [np.array(sorted(place[f] for f in d if f in place), np.int64) for d in docs]
-    w, cuts = ordinal(rows, grades, len(place), GRADES)
-    return Model({f: float(w[i]) for f, i in place.items()}, [float(c) for c in cuts])
+    w, cuts = ordinal(rows, grades, len(chosen), GRADES)
+    return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True)}, [float(c) for c in cuts])
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -125,20 +133,21 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """None without labelled documents of both classes."""
     rows = {}
-    for r in sample(docs, labels, most).toLocalIterator():
-        rows.setdefault((r["doc_id"], r["text"]), (r["text"], r["toxic"]))  # copies count once
-    texts, toxic = [x for x, _ in (rows[k] for k in sorted(rows, key=lambda k: (k[0], k[1] or "")))], [rows[k][1] for k in sorted(rows, key=lambda k: (k[0], k[1] or ""))]
-    return fit(texts, toxic) if len(set(toxic)) == 2 else None
+    for r in sample(docs, labels, most).toLocalIterator():  # a document at a time; copies count once
+        rows.setdefault((r["doc_id"], zlib.crc32((r["text"] or "").encode("utf-8", "surrogatepass"))), (document_features(r["text"]), r["toxic"]))
+    rows = [rows[k] for k in sorted(rows)]
+    toxic = [y for _, y in rows]
+    return fit([f for f, _ in rows], toxic) if len(set(toxic)) == 2 else None
 
 
 def _scorer(model: Model | None):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple[int, ...]] = {}
         weights = model.weights if model else {}
         for frame in batches:
             out = []
             for text in frame["text"]:
-                found: set[str] = set()
+                found: set[int] = set()
                 for w in words_of(text):
                     f = known.get(w)
                     if f is None:

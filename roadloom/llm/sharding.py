@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import bucket_bits, held, running, table
+from roadloom.llm.common import bucket_bits, held, running, salted, table
 
 SEED, ROUNDS, SLACK = 17, 8, 0.01
 #: Movers between two shards are let through by the first bits of a hash, so many at once.
@@ -32,7 +32,7 @@ def documents_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     shared = rows.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.xxhash64("key").alias("hub"))
-    links = rows.where("key is not null").select("row", "key").join(shared, "key").select("row", "hub")
+    links = salted(rows.where("key is not null").select("row", "key"), shared, ["key"]).select("row", "hub")
     return rows.drop("key"), links
 
 
@@ -65,7 +65,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: int =
         placed = linked.join(now, "row")
         # bytes of each hub in each shard: partial sums come first, so a hot hub is a few rows for each task
         held_by = placed.groupBy("hub").agg(*(F.sum(F.when(F.col("shard") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(shards)))
-        score = placed.join(held_by, "hub").groupBy("row").agg(F.first("size").alias("size"), F.first("h").alias("h"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
+        score = salted(placed, held_by, ["hub"]).groupBy("row").agg(F.first("size").alias("size"), F.first("h").alias("h"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
         # most bytes win; ties by an order of the shards that the hub decides, so both ends of a link ask for the same shard
         best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("n"), F.pmod(F.col("first") + k, F.lit(shards)).alias("o"), F.lit(k).alias("k")) for k in range(shards))))["k"]
         asked = held(score.select("row", "size", "shard", best.alias("to"), F.shiftrightunsigned(F.xxhash64("h", "row"), 64 - BUCKET_BITS).cast("int").alias("bucket")))

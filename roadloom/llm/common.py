@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Copies of a small side when a join's key may be hot.
 SALTS = 16
+#: Rows that are broadcast at most: of some numbers each, about 10 MB.
+FEW = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +52,22 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables of put() that no later step reads."""
-        for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(*frames)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables of put() or held() that no later step reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the session deletes its files when nothing refers to it any more."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a written table: computed once, its lineage cut, and its size known to the planner.
+
+    (A checkpoint computes its plan twice, and keeps estimates of size that multiply with each join of an iteration.)
+    """
+    return Scratch(df.sparkSession, "held").put(df)
 
 
 def let(value: Column, body) -> Column:
@@ -79,9 +87,16 @@ def n_words(text: Column) -> Column:
 
 
 def salted(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on keys of which any may be hot in `big`: its rows are dealt to SALTS copies of each row of `small`, whose keys are few per row of `big`."""
+    """A join on keys of which any may be hot in `big`.
+
+    `small`, narrow rows of unique keys, is written and counted: up to FEW rows of it are broadcast; beyond that, the rows of `big` are dealt to SALTS
+    copies of each of its rows.
+    """
+    small = held(small)
+    if small.count() <= FEW:
+        return big.join(F.broadcast(small), list(on), how)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import held, salted
+from roadloom.llm.common import drop, held, salted
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,11 +20,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = held(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = salted(large, least, ["u"])
         small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
-        pairs = held(small)
+        new = held(small)
+        drop(pairs)
+        pairs = new
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

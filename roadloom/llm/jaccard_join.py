@@ -6,8 +6,9 @@ empty say nothing; spare parts make up for them, and sets with more empty parts
 under every seed sign their band).  So no similar pair is missed, and each signature covers several features, so few others meet.
 
 Equal sets are one node from the start.  Signatures travel in packed blocks, a node's once from each task.  In each bucket all nodes are compared with
-a leader, and components of the links found; buckets that still hold several components choose further leaders, at most LEADERS a round, until
-every pair of a bucket is compared or in one component.  So a round makes rows in proportion to the buckets, never all pairs of a group.
+a leader, and components of the links found; buckets that still hold several components choose further leaders, at most AT_ONCE a round, until every
+pair of a bucket is compared or in one component.  Pairs that can't link are never made: features that no other set of a large bucket has count as
+differences, so does what the sizes of the rest differ by, and so do the bits of an odd sketch.  Buckets of at most LEADERS + 1 nodes give all pairs.
 
 Defined cases: A-Z are lowered; a text of fewer words than the n-gram is one feature; texts without words, or null, have no features and link with
 nothing; repeated rows are linked; a null doc_id is never a component's id unless all of a component's are null; an empty table gives an empty result;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import Scratch, held, salted, shuffle_partitions, table
 from roadloom.llm.graph import components
 
-SEEDS, LEADERS, BITMAP_BITS = 3, 16, 23
+SEEDS, LEADERS, AT_ONCE, BITMAP_BITS = 3, 16, 4096, 23
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -127,6 +128,23 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def _combined(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (signature, node) rows: those to be dealt by signature, and those that stay behind.
+
+    Where more than LEADERS + 1 nodes of one batch share a signature, only the first is dealt, with a mark (node 0) that there are others.
+    """
+    packed = packed[np.lexsort((packed[:, 1], packed[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], packed[1:, 0] != packed[:-1, 0])))
+    size = np.diff(np.concatenate((first, [len(packed)])))
+    hot = np.repeat(size > LEADERS + 1, size)
+    leads = np.zeros(len(packed), bool)
+    leads[first] = True
+    behind = hot & ~leads
+    marks = packed[first[size > LEADERS + 1]].copy()
+    marks[:, 1] = 0
+    return np.concatenate((packed[~behind], marks)), packed[behind]
+
+
 SIGNED = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, block binary"
 
 
@@ -156,10 +174,14 @@ def _signer(n: int, similarity: Fraction, parts: int, features: int = 400_000):
                         own.append(nodes[i])
                 who, sig = signatures(fresh, bands) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 if len(sig):
-                    to = (sig % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
                     packed = np.empty((len(sig), 2), np.uint64)
-                    packed[:, 0], packed[:, 1] = sig[order], np.array(own, np.int64)[who[order]].astype(np.uint64)
+                    packed[:, 0], packed[:, 1] = sig, np.array(own, np.int64)[who].astype(np.uint64)
+                    packed, local = _combined(packed)
+                    if len(local):
+                        yield pd.DataFrame({"part": (np.arange(len(local)) % parts).astype(np.int32), "doc_id": pd.array([None] * len(local), "Int64"), "text_key": 0, "n": -2, "node": local[:, 1].astype(np.int64), "block": [x.tobytes() for x in local[:, 0]]})
+                    to = (packed[:, 0] % np.uint64(parts)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    packed = packed[order]
                     ends = np.searchsorted(to[order], np.arange(parts + 1))
                     used = [p for p in range(parts) if ends[p] < ends[p + 1]]
                     yield pd.DataFrame({"part": np.array(used, np.int32), "doc_id": pd.array([None] * len(used), "Int64"), "text_key": 0, "n": -1, "node": 0, "block": [packed[ends[p] : ends[p + 1]].tobytes() for p in used]})
@@ -168,35 +190,67 @@ def _signer(n: int, similarity: Fraction, parts: int, features: int = 400_000):
     return sign
 
 
-MET = "doc_id bigint, text_key bigint, n bigint, node bigint, sig bigint"
+MET = "kind int, doc_id bigint, text_key bigint, n bigint, node bigint, other bigint"
+DOCUMENT, PAIR, ENTRY = 0, 1, 2
+
+
+def _rows(kind: int, node: np.ndarray, other: np.ndarray) -> Iterator[pd.DataFrame]:
+    for k in range(0, len(node), 200_000):
+        x, y = node[k : k + 200_000].astype(np.int64), other[k : k + 200_000].astype(np.int64)
+        yield pd.DataFrame({"kind": kind, "doc_id": pd.array([None] * len(x), "Int64"), "text_key": 0, "n": -1, "node": x, "other": y})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of documents pass; of the signatures, those with two nodes or more stay."""
+    """Documents pass; buckets of at most LEADERS + 1 nodes give their pairs, of larger ones the entries (node, signature) stay."""
     blocks = []
     for frame in batches:
         docs = frame[frame["n"] >= 0]
         if len(docs):
-            yield docs[["doc_id", "text_key", "n", "node"]].assign(doc_id=docs["doc_id"].astype("Int64"), sig=0)
-        blocks += [np.frombuffer(b, np.uint64).reshape(-1, 2) for b in frame.loc[frame["n"] < 0, "block"]]
-    if blocks:
-        all_ = np.concatenate(blocks)
-        del blocks
-        all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
-        same = (all_[1:, 0] == all_[:-1, 0]) & (all_[1:, 1] == all_[:-1, 1])
-        all_ = all_[np.concatenate(([True], ~same))]
-        twin = all_[1:, 0] == all_[:-1, 0]
-        keep = np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
-        all_ = all_[keep]
-        for k in range(0, len(all_), 200_000):
-            x = all_[k : k + 200_000].astype(np.int64)
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(x), "Int64"), "text_key": 0, "n": -1, "node": x[:, 1], "sig": x[:, 0]})
+            yield docs[["doc_id", "text_key", "n", "node"]].assign(kind=DOCUMENT, doc_id=docs["doc_id"].astype("Int64"), other=0)[["kind", "doc_id", "text_key", "n", "node", "other"]]
+        behind = frame[frame["n"] == -2]
+        if len(behind):
+            node, sig = behind["node"].to_numpy(np.int64), np.frombuffer(b"".join(behind["block"]), np.uint64)
+            yield from _rows(ENTRY, node, sig)
+        blocks += [np.frombuffer(b, np.uint64).reshape(-1, 2) for b in frame.loc[frame["n"] == -1, "block"]]
+    if not blocks:
+        return
+    all_ = np.concatenate(blocks)
+    del blocks
+    all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
+    all_ = all_[np.concatenate(([True], (all_[1:] != all_[:-1]).any(1)))]
+    first = np.flatnonzero(np.concatenate(([True], all_[1:, 0] != all_[:-1, 0])))
+    size = np.diff(np.concatenate((first, [len(all_)])))
+    marked = all_[first, 1] == 0
+    small = ~marked & (size <= LEADERS + 1)
+    pairs = []
+    for m in range(2, LEADERS + 2):
+        at = first[small & (size == m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                pairs.append(np.column_stack((all_[at + i, 1], all_[at + j, 1])))
+    large = np.flatnonzero(~small)
+    for g in large:
+        own = all_[first[g] + marked[g] : first[g] + size[g]]
+        yield from _rows(ENTRY, own[:, 1], own[:, 0])
+    if pairs:
+        both = np.unique(np.concatenate(pairs), axis=0)
+        yield from _rows(PAIR, both[:, 0], both[:, 1])
 
 
 def _texts_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
 
 
+SKETCH = [f"p{i}" for i in range(8)]
+SETS = "node bigint, s bigint, " + ", ".join(f"{c} bigint" for c in SKETCH) + ", features binary"
+
+
+def _sketch(features: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the features that fall to it."""
+    bits = np.bincount((mixed(features + np.uint64(77)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _filler(n: int, bitmap) -> object:
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bits, sent = Words(), np.frombuffer(bitmap.value, np.uint8), set()
@@ -211,12 +265,12 @@ def _filler(n: int, bitmap) -> object:
                     if len(sent) > 2_000_000:
                         sent.clear()
                     sent.add(node)
-                    out.append((node, s.tobytes()))
+                    out.append((node, len(s), *_sketch(s), s.tobytes()))
                 if len(out) >= 2000:
-                    yield pd.DataFrame(out, columns=["node", "features"])
+                    yield pd.DataFrame(out, columns=["node", "s", *SKETCH, "features"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["node", "features"])
+                yield pd.DataFrame(out, columns=["node", "s", *SKETCH, "features"])
 
     return fill
 
@@ -236,11 +290,68 @@ def _compare(p: int, q: int):
                 at[at == len(b)] = 0
                 both = int((b[at] == a).sum())
                 like.append(q * both >= p * (len(a) + len(b) - both))
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "like": like})
+            yield frame.loc[np.array(like, bool), ["a", "b"]]
 
     return compare
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _room(p: int, q: int):
+    """Whether the sizes s and s_a, with u and u_a features that no other set has, leave room for the similarity: such features, and what the sizes of
+    the rest differ by, are differences."""
+    least = F.col("u") + F.col("u_a") + F.abs(F.col("s") - F.col("u") - F.col("s_a") + F.col("u_a"))
+    return least * (q + p) <= (F.col("s") + F.col("s_a")) * (q - p)
+
+
+def _alike(p: int, q: int):
+    """Whether sizes and odd sketches leave room: a difference turns one of 512 bits, so sets differ by as many features as bits at least."""
+    turned = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in SKETCH), F.lit(0))
+    sizes = (F.col("s") * q >= F.col("s_a") * p) & (F.col("s_a") * q >= F.col("s") * p)
+    return sizes & (turned * (q + p) <= (F.col("s") + F.col("s_a")) * (q - p))
+
+
+def _close(p: int, q: int):
+    return _room(p, q) & _alike(p, q)
+
+
+def _as_other(*more) -> list:
+    return [F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("s", "u", *SKETCH)), *more]
+
+
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        sets = [np.frombuffer(x, np.int64) for x in frame["features"]]
+        yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), [len(x) for x in sets]), "f": np.concatenate(sets) if sets else np.zeros(0, np.int64)})
+
+
+def _able(entries: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Large buckets' entries (sig, node, s, u, sketch) that may link with another of the same bucket: s is the set's size, u the number of its features
+    that no other set of a large bucket has."""
+    own = sets.join(entries.select("node").distinct(), "node", "left_semi")
+    alone = own.select("node", "features").mapInPandas(_features, "node bigint, f bigint").groupBy("f").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    sizes = own.select("node", "s", *SKETCH).join(alone.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
+    sizes = sizes.withColumn("u", F.coalesce("u", F.lit(0))).where((F.col("s") - F.col("u")) * q >= F.col("s") * p)
+    rows = held(entries.join(sizes, "node").select("sig", "node", "s", "u", *SKETCH))
+    # kinds of sets in a bucket are few, its sets may be many
+    kinds = held(rows.groupBy("sig", "s", "u").agg(F.count("*").alias("c")))
+    other = kinds.select("sig", F.col("s").alias("s_a"), F.col("u").alias("u_a"))
+    same = (F.col("s") == F.col("s_a")) & (F.col("u") == F.col("u_a"))
+    fine = kinds.join(other, "sig").where(_room(p, q) & (~same | (F.col("c") > 1))).select("sig", "s", "u").distinct()
+    return salted(rows, fine, ["sig", "s", "u"])
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """A bit for each key's last BITMAP_BITS bits: the same size for any input."""
+    k = F.col("text_key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = keys.select(k.alias("k")).groupBy(F.shiftright("k", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
 class Joined:
     """The join's result: docs (doc_id, text_key, n, node), one row a document, and roots (node, root) of the nodes with links."""
 
@@ -253,41 +364,44 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     scratch, parts = Scratch(spark, "jaccard"), shuffle_partitions(spark)
     keyed = _texts_key(docs)
     met = scratch.put(keyed.mapInPandas(_signer(n, similarity, parts), SIGNED).repartition(parts, "part").drop("part").mapInPandas(_meet, MET))
-    rows = met.where("n >= 0").select("doc_id", "text_key", "n", "node")
-    entries = met.where("n < 0").select("sig", "node")
-    near = entries.select("node").distinct()
+    rows = met.where(F.col("kind") == DOCUMENT).select("doc_id", "text_key", "n", "node")
+    whole = met.where(F.col("kind") == ENTRY).select(F.col("other").alias("sig"), "node")
+    pairs = held(_ordered(met.where(F.col("kind") == PAIR).select(F.col("node").alias("a"), F.col("other").alias("b"))))
     # the sets of nodes that met another: their texts are known by a bitmap of fixed size, so texts are neither shuffled nor all taken apart again
-    wanted = rows.join(near, "node", "left_semi").select(F.col("text_key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("k"))
-    words = wanted.groupBy(F.shiftright("k", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 31 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    sent = spark.sparkContext.broadcast(bitmap.tobytes())
-    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(_filler(n, sent), "node bigint, features binary").dropDuplicates(["node"]))
-    compared = links = roots = None
-    first = entries.groupBy("sig").agg(F.min("node").alias("a"))
-    pairs = salted(entries, first, ["sig"]).where("a != node").select(F.col("node").alias("b"), "a")
-    entries = held(salted(entries, first, ["sig"]).where("a != node").select("sig", "node"))
-    whole = met.where("n < 0").select("sig", "node")
+    near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(whole.select("node")).distinct()
+    sent = spark.sparkContext.broadcast(_bitmap(salted(rows, near, ["node"]).select("text_key")))
+    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(_filler(n, sent), SETS).dropDuplicates(["node"]))
+    sent.unpersist()
+    marks = sets.select("node", "s", *SKETCH)
+    other = marks.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("s", *SKETCH)))
+    pairs = pairs.join(other, "a").join(marks.withColumnRenamed("node", "b"), "b").where(_alike(p, q)).select("a", "b")
+    whole = held(_able(whole, sets, p, q))
+    links = roots = compared = None
+    lead = whole.groupBy("sig").agg(F.min(F.struct("u", "node", "s", *SKETCH)).alias("x"), F.count("*").alias("c")).where("c > 1")
+    lead = lead.select("sig", "x.*").select("sig", *_as_other())
+    star = salted(whole, lead, ["sig"]).where((F.col("a") != F.col("node")) & _close(p, q)).select("a", F.col("node").alias("b"))
+    pairs = held(pairs.union(_ordered(star)).distinct())  # each node with its buckets' leaders, and small buckets whole
+    led = held(lead.select("sig", F.col("a").alias("node")))
     while True:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(compared, ["a", "b"], "left_anti") if compared is not None else pairs
-        one = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("features", "fa"), "a")
-        both = one.join(sets.withColumnRenamed("node", "b").withColumnRenamed("features", "fb"), "b")
-        now = held(both.mapInPandas(_compare(p, q), "a bigint, b bigint, like boolean"))
-        compared = now.select("a", "b") if compared is None else compared.union(now.select("a", "b"))
-        new = now.where("like").select("a", "b")
+        used = salted(sets.select("node", "features"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), ["node"])
+        one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}), "a")
+        new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}), "b").mapInPandas(_compare(p, q), "a bigint, b bigint"))
+        compared = pairs if compared is None else compared.union(pairs)
         links = new if links is None else links.union(new)
         roots = held(components(links))
-        # buckets that still hold nodes of several components; `entries` are nodes that haven't led yet
-        of = whole.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        held_by = held(of.groupBy("sig", "root").count())
-        several = held_by.groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top")).where("roots > 1").select("sig", F.col("top.root").alias("top"))
-        open_ = salted(entries.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), several, ["sig"]).where("root != top")
-        leaders = held(open_.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).where(F.col("r") <= LEADERS).select("sig", F.col("node").alias("a"), F.col("root").alias("ra")))
+        if not whole.take(1):
+            break
+        # large buckets that still hold nodes of several components
+        of = held(salted(whole, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node")))
+        several = of.groupBy("sig", "root").count().groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top")).where("roots > 1").select("sig", F.col("top.root").alias("top"))
+        open_ = salted(of, several, ["sig"]).where("root != top").join(led, ["sig", "node"], "left_anti")
+        order = Window.partitionBy("sig").orderBy("u", "node")
+        leaders = held(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AT_ONCE).select("sig", *_as_other(F.col("root").alias("ra"))))
         if not leaders.take(1):
             break
-        pairs = salted(of, leaders, ["sig"]).where("root != ra").select("a", F.col("node").alias("b"))
-        entries = held(entries.join(leaders.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti"))
+        pairs = _ordered(salted(of, leaders, ["sig"]).where((F.col("root") != F.col("ra")) & _close(p, q)).select("a", F.col("node").alias("b")))
+        pairs = held(pairs.join(compared, ["a", "b"], "left_anti"))
+        led = led.union(leaders.select("sig", F.col("a").alias("node")))
     scratch.drop(sets)
     return Joined(rows, roots)
 

@@ -31,30 +31,65 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+#: Letters that a tokenizer can't compose or lower in more than one way, and what may follow them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Known(dict):
+    """Strings without white space to the bytes of their ids; forgets all when it has grown large."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class Encoder:
-    """Texts to the bytes of their ids, unsigned little-endian 32-bit, with the end token."""
+    """Texts to the bytes of their ids, unsigned little-endian 32-bit, with the end token.
+
+    Ids are kept by string; a string of plain letters and marks that is new is made of the ids of its word, in lower case, and of its marks.
+    """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.words, self.marks, self.known = Known(self.word, most), Known(self.plain, 10_000), Known(self.string, most)
         self.end = np.array([END], "<u4").tobytes()
 
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+
+    def string(self, text: str) -> bytes:
+        m = PLAIN.fullmatch(text)
+        if not m:
+            return self.plain(text)
+        out = self.words[m[1].lower()]
+        return out + self.marks[m[2]] if m[2] else out
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words)) + self.end
+            return self.plain(text) + self.end
+        return b"".join(map(self.known.__getitem__, text.split())) + self.end
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one for each Python worker

@@ -46,7 +46,7 @@ class Words(dict):
     """Word to its 64-bit hash; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -148,7 +148,7 @@ def _combined(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SIGNED = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, block binary"
 
 
-def _signer(n: int, similarity: Fraction, parts: int, features: int = 400_000):
+def _signer(n: int, similarity: Fraction, parts: int, features: int = 200_000):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, bands, sent = Words(), Bands(similarity), set()
         for frame in batches:

@@ -92,7 +92,7 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, text.split())) + self.end
 
 
-_ENCODERS: dict[str, Encoder] = {}  # one for each Python worker
+_ENCODERS: dict[tuple[str, int], Encoder] = {}  # one for each Python worker
 
 
 class Packer:
@@ -164,11 +164,11 @@ def _first(level: int) -> int:
     return (level << 58) + (TaskContext.get().partitionId() << 30)
 
 
-def _pack_texts(path: str, options: dict):
+def _pack_texts(path: str, cached: int, options: dict):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encode, packer = _ENCODERS[path], Packer(_first(0), **options)
+        if (path, cached) not in _ENCODERS:
+            _ENCODERS[path, cached] = Encoder(path, cached)
+        encode, packer = _ENCODERS[path, cached], Packer(_first(0), **options)
         for frame in batches:
             for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
                 ids = encode(text)
@@ -194,11 +194,12 @@ def _pack_left(level: int, last: bool, options: dict):
     return pack
 
 
-def packed(docs: DataFrame, path: str, keep_ids: bool = True, window: int = WINDOW, open_windows: int = OPEN, tolerance: int = TOLERANCE) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (as bytes) if they are to be kept."""
+def packed(docs: DataFrame, path: str, keep_ids: bool = True, window: int = WINDOW, open_windows: int = OPEN, tolerance: int = TOLERANCE, cached: int = 900_000) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (as bytes) if they are to be kept.  cached: strings whose ids a
+    worker keeps at most, about 300 bytes each."""
     options = {"keep_ids": keep_ids, "window": window, "open_windows": open_windows, "tolerance": tolerance}
     scratch, tasks, level = Scratch(docs.sparkSession, "packing"), shuffle_partitions(docs.sparkSession), 0
-    done = scratch.put(docs.select("doc_id", "text").mapInPandas(_pack_texts(path, options), PIECES))
+    done = scratch.put(docs.select("doc_id", "text").mapInPandas(_pack_texts(path, cached, options), PIECES))
     out = done.where("not open")
     while tasks > 1:
         tasks, level = -(-tasks // FAN_IN), level + 1

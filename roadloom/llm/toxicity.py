@@ -151,7 +151,7 @@ def _scorer(model: Model | None):
                 for w in words_of(text):
                     f = known.get(w)
                     if f is None:
-                        if len(known) > 500_000:
+                        if len(known) > 200_000:
                             known.clear()
                         known[w] = f = tuple(x for x in features_of(w) if x in weights)
                     if f:

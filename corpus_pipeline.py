@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their token ids."""
-    return packing.packed(docs, packing.tokenizer_path())
+    """Pieces of documents in sequences, with their token ids; fewer strings are cached than alone, as workers still hold what earlier stages left."""
+    return packing.packed(docs, packing.tokenizer_path(), cached=300_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard_join", dedup_documents), ("mixing", mix_sources), ("packing", pack)]

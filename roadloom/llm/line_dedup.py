@@ -1,149 +1,253 @@
-"""Operator 3: repeated runs of lines, by a suffix array over line ids.
-
-All documents' lines (those with a word) make one sequence of ids, in the order of doc_id.  Prefix doubling ranks the suffixes by their first 1, 2, 4, ...
-lines: each round joins a position's rank with the rank that lies as far ahead, and ranks the pairs in order by ranges.  Positions whose rank no other
-shares take no further part, so rounds shrink to what is repeated.  An interval of suffixes with a common prefix of at least `least_words` words is a
-repeated run: for each position the shortest such run that starts there, and the shortest that ends there, is looked up by two ranks that overlap, as
-any length between two powers of two can be.  The union of these runs is the union of the maximal repeated runs, and since a run of least_words words
-has no more lines than that, the rounds are few.  The first copy of a run stays; the lines of later ones go.
-
-Defined cases: lines are compared without white space around them; lines without a word are kept and don't break runs; later copies that overlap the
-first one in the same document lose only what lies beyond it; a null doc_id comes last in order, and of repeated rows one comes first; null texts stay
-null; a text that is a copy as a whole becomes empty; an empty table gives an empty result; further columns are kept.
+"""Operator 3: repeated passages, by prefix doubling over words.
+
+Each word has a fingerprint of 64 bits, and doubling makes those of the 2, 4, 8, ... words from each position; any other length is two overlapping powers
+of two.  A passage of `least_words` words or more that stands twice is the union of windows of just so many words that stand twice, so windows are what is
+compared, wherever lines begin or end.  Only windows that can stand twice are: equal windows have an equal least fingerprint of half their length at the
+same place, their anchor.  Anchors, about one in thirteen words, are counted first; windows of anchors that stand once are left out.  Of equal windows the
+first one in the order of documents stays, and the words of later ones go, with their lines where no word of a line is left.
+
+No join has a fingerprint as its key, so a hot passage is one row for each task: what is alone, or first, is aggregated and brought back to its document.
+
+Defined cases: words are compared, not the white space between them; a line that loses some of its words keeps the others; lines without a word stay
+unless the words before and behind them go; later copies that overlap the first one in the same document lose only what lies beyond it; a null doc_id
+comes last in order, and of repeated rows one comes first; null texts stay null; a text that is a copy as a whole becomes empty; an empty table gives an
+empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, ranked, salted, table
+from roadloom.llm.common import Scratch, held, ranked, table
 
 LEAST_WORDS = 50
-LINES = "doc_id bigint, rk bigint, tk bigint, line array<bigint>, raw array<int>, words array<int>, ls array<int>, le array<int>"
+#: Bytes of text that are looked at together in a Python worker.
+TOGETHER = 1 << 20
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+CUT = "text string, lines bigint, words bigint"
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_prints(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each word of texts that lie one behind the other, and the number of its text."""
+    solid = (data != 32) & ((data < 9) | (data > 13))
+    new = solid.copy()
+    new[1:] &= ~solid[:-1]
+    at = bounds[:-1][bounds[:-1] < len(data)]
+    new[at] = solid[at]
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.flatnonzero(new[solid])  # of each word, among the bytes that aren't white space
+    size = np.diff(np.append(first, np.count_nonzero(solid)))
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    terms = (data[solid].astype(np.uint64) + np.uint64(1)) * power[np.arange(int(size.sum())) - np.repeat(first, size)]
+    return mixed(np.add.reduceat(terms, first)), np.searchsorted(bounds, starts, "right") - 1
+
+
+def run_prints(words: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of the n words from each position, by doubling."""
+    out, have = words, 1
+    while have < n:
+        step = min(have, n - have)
+        out = mixed(out[:-step] * np.uint64(0xD6E8FEB86659FD93) + out[step:]) if len(out) > step else out[:0]
+        have += step
+    return out
+
+
+def least_places(x: np.ndarray, n: int) -> np.ndarray:
+    """The place of the leftmost least value among the n from each position."""
+    out, have = np.arange(len(x)), 1
+    while have < n:
+        step = min(have, n - have)
+        a, b = out[:-step] if len(out) > step else out[:0], out[step:]
+        out, have = np.where(x[a] <= x[b], a, b), have + step
+    return out
+
+
+def _anchored(words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of half the length; for each position, its window's anchor, and whether the window lies in one text."""
+    half = (least + 1) // 2
+    prints = run_prints(words, half)
+    place = least_places(prints, least - half + 1)
+    return prints, place, doc[: len(place)] == doc[least - 1 : least - 1 + len(place)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows whose texts are about TOGETHER bytes: themselves, their words' fingerprints, each word's row, and each row's first word."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column("text").cast(pa.large_string())
+        _, offsets, data = text.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        cuts = np.flatnonzero(np.diff((offsets - offsets[0]) // TOGETHER)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            if a < b:
+                prints, doc = word_prints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield batch.slice(a, b - a), prints, doc, np.searchsorted(doc, np.arange(b - a))
+
 
+def _listed(rows: pa.RecordBatch, names: list[str], doc: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """Columns of the rows, and values as arrays of the row that they are of."""
+    offsets = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values.values()]
+    return pa.RecordBatch.from_arrays([rows.column(n) for n in names] + lists, names=[*names, *values])
 
-def run_lengths(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, how many lines the shortest run of at least `least` words has that starts there, and that ends there; 0 if there is none."""
-    total = np.concatenate(([0], np.cumsum(words)))
-    n = len(words)
-    end = np.searchsorted(total, total[:-1] + least, "left")
-    starts = np.where(end <= n, end - np.arange(n), 0)
-    begin = np.searchsorted(total, total[1:] - least, "right") - 1
-    ends = np.where(total[1:] >= least, np.arange(1, n + 1) - begin, 0)
-    return starts.astype(np.int32), ends.astype(np.int32)
 
+def _anchors(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, words, doc, first in _pieces(batches):
+            prints, place, whole = _anchored(words, doc, least)
+            at = np.unique(place[whole])
+            own = doc[at]
+            yield _listed(rows, ["doc_id", "rk", "tk"], own, h=prints[at].view(np.int64), p=(at - first[own]).astype(np.int32))
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64(F.lit(7), "text").alias("tk")]
+    return run
 
 
-def _split(least: int):
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, words, doc, first in _pieces(batches):
+            _, place, whole = _anchored(words, doc, least)
+            twice = np.zeros(len(words), bool)
+            lists = rows.column("twice")
+            twice[lists.flatten().to_numpy() + np.repeat(first, lists.value_lengths().to_numpy())] = True
+            at = np.flatnonzero(whole & twice[place])
+            own = doc[at]
+            yield _listed(rows, ["d", "rk", "tk", "nth"], own, h=run_prints(words, least)[at].view(np.int64), p=(at - first[own]).astype(np.int32))
+
+    return run
+
+
+def _later(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
-            for text in frame["text"]:
-                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                words = np.array([len(x.split()) for x in lines], np.int32)
-                raw = np.flatnonzero(words).astype(np.int32)
-                ids = np.array([xxhash.xxh3_64_intdigest(lines[i].strip()) for i in raw], np.uint64).astype(np.int64)
-                out.append((ids, raw, words[raw], *run_lengths(words[raw], least)))
-            cols = dict(zip(("line", "raw", "words", "ls", "le"), map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in ("line", "raw", "words", "ls", "le")}
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "rk": frame["rk"], "tk": frame["tk"], **cols})
-
-    return split
-
-
-def levels(rows: DataFrame, longest: int) -> DataFrame:
-    """rows (d, pos, line) to (d, pos, k, rank): ranks of the 2**k lines from each position, for runs that stand twice or more."""
-    seen = rows.groupBy("line").count().where("count > 1").select("line")
-    now = held(salted(rows, ranked(seen, [F.col("line")], "rank"), ["line"]).select("d", "pos", "rank"))
-    out, k = now.withColumn("k", F.lit(0)), 0
-    while 2 ** (k + 1) <= longest and now.take(1):
-        ahead = now.select("d", (F.col("pos") - 2**k).alias("pos"), F.col("rank").alias("then"))
-        pairs = held(now.join(ahead, ["d", "pos"]))
-        twice = pairs.groupBy("rank", "then").count().where("count > 1").select("rank", "then")
-        classes = ranked(twice, [F.col("rank"), F.col("then")], "next")
-        now = held(salted(pairs, classes, ["rank", "then"]).select("d", "pos", F.col("next").alias("rank")))
-        k += 1
-        out = out.union(now.withColumn("k", F.lit(k)))
-    return out
+            for h, p, own in zip(frame["h"], frame["p"], frame["own"], strict=True):
+                if len(own) == len(p):
+                    out.append(None)
+                    continue
+                stays = np.isin(p, own)
+                first = dict(zip(h[stays], p[stays], strict=True))
+                start, stop = p[~stays].astype(np.int64), p[~stays].astype(np.int64) + least
+                if first:  # later copies in the document of the first one
+                    start = np.maximum(start, [first.get(x, -least) + least for x in h[~stays]])
+                some = start < stop
+                gone = np.zeros(int(p[-1]) + least + 1, np.int64)
+                np.add.at(gone, start[some], 1)
+                np.add.at(gone, stop[some], -1)
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(gone) > 0).astype(np.int8)))))
+                out.append(edges.astype(np.int32) if len(edges) else None)
+            frame["cuts"] = pd.Series(out, frame.index, object)
+            yield frame.loc[frame["cuts"].notna(), ["rk", "tk", "nth", "cuts"]]
 
+    return run
 
-def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Documents (d, doc_id, rk, tk, raw, words) and their lines to delete (d, start, stop), d being the document's number in order."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    texts = docs.where("text is not null").select("doc_id", "text", *_keys())
-    lines = scratch.put(texts.mapInPandas(_split(least_words), LINES))
-    numbered = scratch.put(ranked(lines, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d"))
-    scratch.drop(lines)
-    rows = numbered.select("d", F.posexplode(F.arrays_zip("line", "ls", "le"))).select("d", "pos", "col.line", "col.ls", "col.le")
-    rank = held(levels(rows.select("d", "pos", "line"), least_words))
-    repeated = rows.join(rank.where("k = 0").select("d", "pos"), ["d", "pos"], "left_semi")
-    runs = repeated.where("ls > 0").select("d", F.col("pos").alias("start"), F.col("ls").alias("len"))
-    runs = runs.union(repeated.where("le > 0").select("d", (F.col("pos") - F.col("le") + 1), "le")).distinct()
-    k = F.lit(0)
-    for level in range(1, least_words.bit_length()):
-        k = F.when(F.col("len") >= 2**level, F.lit(level)).otherwise(k)
-    runs = runs.withColumn("k", k)
-    left = rank.select("d", F.col("pos").alias("start"), "k", F.col("rank").alias("r1"))
-    right = rank.select("d", F.col("pos").alias("at"), "k", F.col("rank").alias("r2"))
-    runs = held(runs.join(left, ["d", "start", "k"]).withColumn("at", F.col("start") + F.col("len") - F.expr("cast(shiftleft(1, k) as int)")).join(right, ["d", "at", "k"]).select("d", "start", "len", "r1", "r2"))
-    # the interval of all suffixes with this prefix, and the first of them
-    first = runs.groupBy("len", "r1", "r2").agg(F.min(F.struct("d", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("len", "r1", "r2", "first")
-    later = salted(runs, first, ["len", "r1", "r2"]).where((F.col("d") != F.col("first.d")) | (F.col("start") != F.col("first.start")))
-    stop = F.col("start") + F.col("len")
-    begin = F.when(F.col("d") == F.col("first.d"), F.greatest(F.col("start"), F.col("first.start") + F.col("len"))).otherwise(F.col("start"))
-    return numbered.select("d", "doc_id", "rk", "tk", "raw", "words"), later.select("d", begin.alias("start"), stop.alias("stop")).where("start < stop")
-
-
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        out = []
-        for raw, words, spans in zip(frame["raw"], frame["words"], frame["spans"], strict=True):
-            gone = np.zeros(len(raw) + 1, np.int32)
-            for s in spans:
-                gone[s["start"]] += 1
-                gone[s["stop"]] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            cuts = [{"a": int(raw[a]), "b": int(raw[b - 1]) + 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            out.append((cuts, int(gone.sum()), int(np.asarray(words)[gone].sum())))
-        yield pd.DataFrame({"rk": frame["rk"], "tk": frame["tk"], "nth": frame["nth"], "cuts": [x[0] for x in out], "removed_lines": [x[1] for x in out], "removed_words": [x[2] for x in out]})
 
+def cut(text: str, edges: np.ndarray) -> tuple[str, int, int]:
+    """The text without its words from edges[0] to edges[1], from edges[2] to edges[3], ..., how many lines went as a whole, and how many words."""
+    gone = np.zeros(edges[-1] + 1, bool)
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        gone[a:b] = True
+    out, at, lines = [], 0, 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        n = len(line.split())
+        if not n:
+            if not (0 < at < len(gone) and gone[at - 1] and gone[at]):
+                out.append(line)
+            continue
+        own, at = gone[at : at + n], at + n
+        if not own.any():
+            out.append(line)
+        elif len(own) == n and own.all():
+            lines += 1
+        else:
+            spans = [m.span() for m in WORD.finditer(line)]
+            kept = np.flatnonzero(~np.concatenate((own, np.zeros(n - len(own), bool))))
+            runs = np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1)
+            out.append(b" ".join(line[spans[r[0]][0] if r[0] else 0 : spans[r[-1]][1] if r[-1] < n - 1 else len(line)] for r in runs))
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), lines, int(gone.sum())
 
-def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with their texts cut, and removed_lines and removed_words."""
-    numbered, later = later_copies(docs, least_words)
-    spans = later.groupBy("d").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most two runs a line of one document
+
+def _cut_udf():
+    @F.pandas_udf(CUT)
+    def run(text: pd.Series, edges: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, 0, 0) if t is None or e is None else cut(t, e) for t, e in zip(text, edges, strict=True)], columns=["text", "lines", "words"])
+
+    return run
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """rows (d, h, p) to (h, at), at being a document's number and a place in it."""
+    return rows.select("d", F.explode(F.arrays_zip("h", "p")).alias("x")).select("x.h", (F.shiftleft("d", 32) + F.col("x.p")).alias("at"))
+
+
+def _by_document(at: DataFrame, out: str) -> DataFrame:
+    return at.groupBy(F.shiftright("at", 32).alias("d")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias(out))
+
+
+def _keyed(docs: DataFrame, several: bool) -> DataFrame:
+    """docs with _rk and _tk, and where rows are there several times alike, _nth to tell them apart."""
+    out = docs.withColumns({"_rk": F.xxhash64("doc_id", "text"), "_tk": F.xxhash64(F.lit(7), "text")})
+    return out.withColumn("_nth", F.row_number().over(Window.partitionBy("_rk", "_tk").orderBy(F.lit(0)))) if several else out
+
+
+def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, bool]:
+    """Of documents with later copies (rk, tk, nth, cuts), cuts being the first word and the one behind the last, in turns; and whether any nth is above 1."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    found = scratch.put(_keyed(texts, False).toDF("doc_id", "text", "rk", "tk").mapInArrow(_anchors(least_words), "doc_id bigint, rk bigint, tk bigint, h array<bigint>, p array<int>").where("size(h) > 0"))
     nth = F.row_number().over(Window.partitionBy("rk", "tk").orderBy("d"))
-    listed = numbered.withColumn("nth", nth).join(spans, "d")
-    cuts = held(listed.select("rk", "tk", "nth", "raw", "words", "spans").mapInPandas(_merge, "rk bigint, tk bigint, nth int, cuts array<struct<a:int,b:int>>, removed_lines bigint, removed_words bigint"))
-    keys = {"_rk": F.xxhash64("doc_id", "text"), "_tk": F.xxhash64(F.lit(7), "text")}
-    own, other = docs.withColumns(keys), cuts.toDF("_rk", "_tk", "_nth", "_cuts", "removed_lines", "removed_words")
-    if cuts.where("nth > 1").take(1):  # rows that are there several times alike are told apart by their number
-        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_rk", "_tk").orderBy(F.lit(0))))
-        joined = own.join(other, ["_rk", "_tk", "_nth"], "left")
-    else:
-        joined = own.join(other.drop("_nth"), ["_rk", "_tk"], "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("_cuts", lambda c: (c["a"] <= i) & (i < c["b"])))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    joined = joined.withColumn("_text", text)
-    return joined.select(*(F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
+    numbered = scratch.put(ranked(found, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d").withColumn("nth", nth))
+    scratch.drop(found)
+    several = bool(numbered.where("nth > 1").take(1))
+    alone = _places(numbered).groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("last")).where("at = last")
+    twice = numbered.join(_by_document(alone, "alone"), "d", "left").select("d", "rk", "tk", "nth", F.when(F.col("alone").isNull(), F.col("p")).otherwise(F.array_except("p", "alone")).alias("twice"))
+    twice = scratch.put(twice.where("size(twice) > 0"))
+    scratch.drop(numbered)
+    on = ["_rk", "_tk", *(["_nth"] if several else [])]
+    keyed = _keyed(texts, several).join(twice.select("d", F.col("rk").alias("_rk"), F.col("tk").alias("_tk"), F.col("nth").alias("_nth" if several else "nth"), "twice").hint("merge"), on)
+    keyed = keyed.select("d", F.col("_rk").alias("rk"), F.col("_tk").alias("tk"), F.col("_nth" if several else "nth").alias("nth"), "text", "twice")
+    windows = scratch.put(keyed.mapInArrow(_windows(least_words), "d bigint, rk bigint, tk bigint, nth int, h array<bigint>, p array<int>").where("size(h) > 0"))
+    scratch.drop(twice)
+    first = _by_document(_places(windows).groupBy("h").agg(F.min("at").alias("at")), "own")
+    judged = windows.join(first, "d", "left").select("rk", "tk", "nth", "h", "p", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    cuts = held(judged.mapInPandas(_later(least_words), "rk bigint, tk bigint, nth int, cuts array<int>"))
+    scratch.drop(windows)
+    return cuts, several
+
+
+def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with their texts cut, and removed_lines (those that went as a whole) and removed_words."""
+    cuts, several = later_copies(docs, least_words)
+    on = ["_rk", "_tk", *(["_nth"] if several else [])]
+    joined = _keyed(docs, several).join(cuts.toDF("_rk", "_tk", "_nth", "_cuts").select(*on, "_cuts").hint("merge"), on, "left")
+    joined = joined.withColumn("_new", _cut_udf()(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.col("_new.text"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("_new.lines").alias("removed_lines"), F.col("_new.words").alias("removed_words"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs (with their columns alone) with cut texts; documents that lost lines and have no word left are dropped, n_chars follows the text."""
+    """docs (with their columns alone) with cut texts; documents that lost words and have none left are dropped, n_chars follows the text."""
     out = deduped(docs, least_words)
-    out = out.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.where((F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        cut = F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", cut)
+        shorter = F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", shorter)
     return out.select(*docs.columns)
 
 

@@ -74,6 +74,31 @@ def test_line_runs_equal_plain_ones(docs):
     assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.deduped(docs(*texts)).collect()} == expect
 
 
+def test_passages_equal_plain_ones(docs):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for d in range(40):
+        own = [f"d{d}x{i}" for i in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            a, at = rng.randrange(350), rng.randint(0, len(own))
+            own[at:at] = base[a : a + rng.randint(30, 110)]
+        texts.append("".join(w + rng.choice("   \n") for w in own))
+    texts.append(" ".join(base[:7] * 12))  # a passage that overlaps itself
+    first, gone = {}, {}
+    for d, t in enumerate(texts):
+        ws, gone[d] = t.split(), set()
+        for p in range(len(ws) - 49):
+            f = first.setdefault(tuple(ws[p : p + 50]), (d, p))
+            if f != (d, p):
+                gone[d].update(range(p if f[0] != d else max(p, f[1] + 50), p + 50))
+    out = {r["doc_id"]: r for r in line_dedup.deduped(docs(*texts)).collect()}
+    assert sum(map(len, gone.values())) > 500
+    for d, t in enumerate(texts):
+        assert out[d]["removed_words"] == len(gone[d])
+        assert out[d]["text"].split() == [w for i, w in enumerate(t.split()) if i not in gone[d]]
+
+
 def test_water_filling(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 100), ("d", 5), ("e", 700)]
     df = spark.createDataFrame([(False, s, n) for s, n in sizes], "s_null boolean, s string, size bigint")

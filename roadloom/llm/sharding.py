@@ -1,9 +1,10 @@
 """Operator 10: shards by balanced label propagation.
 
 Documents that share a hub (here: the same text) are linked.  From a seeded even start, each round joins the links with the bytes that each hub has
-in each shard, and documents ask for the shard that holds most of their neighbours.  Quotas bound what moves: two shards swap as much as both want to
-send, and beyond that only what the target's capacity leaves.  A last pass evens out the sizes, with unlinked documents first, since moving them cuts
-no link.  DataFrame operations only; what reaches the driver is one number for each pair of shards.
+in each shard, and documents ask for the shard that holds most of their neighbours, of those with room for the rest of them.  Capacity bounds what moves:
+buckets of hubs go to their shard as long as it has room, what leaves it and all unlinked documents counting as room, and one that doesn't fit holds up
+no other.  Rounds end when nothing is split, or twice running nothing fits.  A last pass evens out the sizes, with unlinked documents first, since
+moving them cuts no link.  DataFrame operations only; what reaches the driver is one number for each pair of shards.
 
 Defined cases: a null text has size 1 (like an empty one), checksum 0 and no links; an empty text is a text like any other; repeated rows are rows of
 their own; an empty table gives an empty result; further columns are ignored.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import bucket_bits, held, running, salted, table
 
 SEED, ROUNDS, SLACK = 17, 8, 0.01
-#: Movers between two shards are let through by the first bits of a hash, so many at once.
+#: Movers to a shard are let through by the first bits of a hash of their hub, so many at once.
 BUCKET_BITS = 9
 
 
@@ -36,13 +37,26 @@ def documents_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("key"), links
 
 
-def _quotas(want: dict[tuple[int, int], int], size: list[int], capacity: float) -> dict[tuple[int, int], float]:
-    """Bytes that may move between two shards: what both want to swap, and a part of the room that the target has left."""
-    out = {}
-    for (a, b), n in want.items():
-        room, asked = max(0.0, capacity - size[b]), sum(max(0, m - want.get((b, x), 0)) for (x, y), m in want.items() if y == b)
-        swap = min(n, want.get((b, a), 0))
-        out[a, b] = swap + (room * (n - swap) / asked if asked else 0)
+def _let_through(steps: list, size: list[int], capacity: float) -> list[tuple[int, int]]:
+    """The (to, bucket) that move: those that their target has room for, with what leaves it making room; one that doesn't fit holds up no other."""
+    moves: dict[tuple[int, int], list] = {}
+    for r in steps:
+        moves.setdefault((r["to"], r["bucket"]), []).append(r)
+    size, out, left = list(size), [], sorted(moves, key=lambda m: (m[1], m[0]))
+    while left:
+        waiting = []
+        for to, bucket in left:
+            n = sum(r["n"] for r in moves[to, bucket])
+            if size[to] + n > capacity:
+                waiting.append((to, bucket))
+                continue
+            size[to] += n
+            for r in moves[to, bucket]:
+                size[r["shard"]] -= r["n"]
+            out.append((to, bucket))
+        if len(waiting) == len(left):
+            break
+        left = waiting
     return out
 
 
@@ -59,43 +73,42 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: int =
     total = sum(_by_shard(state, shards))
     linked = held(links.join(rows.select("row", "size", "h"), "row"))
     now = held(state.where("linked").select("row", "shard"))
-    rest = _by_shard(state.where("not linked"), shards)
-    capacity = (1 + slack) * total / shards
-    for _ in range(rounds):
+    linked_size = _by_shard(state.where("linked"), shards)
+    # unlinked rows make room afterwards; beyond the mean, linked ones would have to go again
+    capacity = max(total / shards, (1 + slack) * sum(linked_size) / shards)
+    idle = 0
+    for turn in range(rounds):
         placed = linked.join(now, "row")
         # bytes of each hub in each shard: partial sums come first, so a hot hub is a few rows for each task
         held_by = placed.groupBy("hub").agg(*(F.sum(F.when(F.col("shard") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(shards)))
-        score = salted(placed, held_by, ["hub"]).groupBy("row").agg(F.first("size").alias("size"), F.first("h").alias("h"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
-        # most bytes win; ties by an order of the shards that the hub decides, so both ends of a link ask for the same shard
-        best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("n"), F.pmod(F.col("first") + k, F.lit(shards)).alias("o"), F.lit(k).alias("k")) for k in range(shards))))["k"]
-        asked = held(score.select("row", "size", "shard", best.alias("to"), F.shiftrightunsigned(F.xxhash64("h", "row"), 64 - BUCKET_BITS).cast("int").alias("bucket")))
-        moves = asked.where("shard != to")
-        steps = moves.groupBy("shard", "to", "bucket").agg(F.sum("size").alias("n")).collect()  # at most shards² * 2**BUCKET_BITS numbers
-        want: dict[tuple[int, int], int] = {}
-        for r in steps:
-            want[r["shard"], r["to"]] = want.get((r["shard"], r["to"]), 0) + r["n"]
-        if not want:
-            break
-        linked_size = _by_shard(asked, shards)
-        quota = _quotas(want, [x + y for x, y in zip(rest, linked_size, strict=True)], capacity)
-        last, used, full = dict.fromkeys(want, -1), dict.fromkeys(want, 0), set()
-        for r in sorted(steps, key=lambda r: r["bucket"]):
-            pair = r["shard"], r["to"]
-            if pair not in full and used[pair] + r["n"] <= quota[pair]:
-                used[pair], last[pair] = used[pair] + r["n"], r["bucket"]
-            else:
-                full.add(pair)
-        if not any(used.values()):
+        score = salted(placed, held_by, ["hub"]).groupBy("row").agg(F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
+        # most bytes win among the shards with room for the others; ties by an order of the shards that the hub decides, so both ends of a link ask for the same shard
+        all_of = sum((F.col(f"s{k}") for k in range(1, shards)), F.col("s0"))
+        fits = [all_of - F.col(f"s{k}") <= max(0.0, capacity - linked_size[k]) for k in range(shards)]
+        best = F.array_max(F.array(*(F.struct(fits[k].alias("f"), F.col(f"s{k}").alias("n"), F.pmod(F.col("first") + k, F.lit(shards)).alias("o"), F.lit(k).alias("k")) for k in range(shards))))["k"]
+        # the rows of a hub share a bucket, so they move together; other buckets each round
+        bucket = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + turn), "first"), 64 - BUCKET_BITS).cast("int")
+        asked = held(score.select("row", "size", "shard", best.alias("to"), bucket.alias("bucket")))
+        steps = asked.where("shard != to").groupBy("shard", "to", "bucket").agg(F.sum("size").alias("n")).collect()  # at most shards² * 2**BUCKET_BITS numbers
+        if not steps:
             break
-        rule = F.lit(False)
-        for (a, b), bucket in last.items():
-            rule = rule | ((F.col("shard") == a) & (F.col("to") == b) & (F.col("bucket") <= bucket))
-        now = held(asked.select("row", F.when(rule, F.col("to")).otherwise(F.col("shard")).alias("shard")))
-        if sum(used.values()) < 0.0005 * total:
+        through = _let_through(steps, linked_size, capacity)
+        idle = 0 if through else idle + 1
+        if idle > 1:
             break
+        if through:
+            go = F.broadcast(asked.sparkSession.createDataFrame(through, "to int, bucket int").withColumn("go", F.lit(True)))  # at most shards * 2**BUCKET_BITS rows
+            now = held(asked.join(go, ["to", "bucket"], "left").select("row", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard")))
+            linked_size = _by_shard(now.join(rows.select("row", "size"), "row"), shards)
     return state.drop("first").withColumnRenamed("shard", "_s").join(now, "row", "left").withColumn("shard", F.coalesce("shard", "_s")).drop("_s")
 
 
+def cut_links(state: DataFrame, links: DataFrame) -> DataFrame:
+    """How many hubs there are, and how many of them have rows in several shards: hubs, cut."""
+    each = links.join(state.select("row", "shard"), "row").groupBy("hub").agg((F.min("shard") != F.max("shard")).alias("cut"))
+    return each.agg(F.count("*").alias("hubs"), F.count_if("cut").alias("cut"))
+
+
 def even_out(state: DataFrame, shards: int) -> DataFrame:
     """Moves rows from shards above the mean size to those below it until they differ by about a document; unlinked rows go first."""
     sizes = _by_shard(state, shards)

@@ -243,6 +243,17 @@ def test_shards_keep_copies_together_and_sizes_even(docs):
     assert sum(len(p) > 1 for p in places.values()) <= 30  # of 60 groups; seeded at random, about 56 were apart
 
 
+def test_groups_that_fit_a_shard_arent_split(docs):
+    rng = random.Random(9)
+    texts = [words(5, 10 * i) for i in range(3000)] + [t for i in range(150) for t in [words(rng.choice((8, 30, 200)), 1000 * i, "twin")] * rng.randint(2, 4)]
+    rng.shuffle(texts)
+    rows, links = sharding.documents_of(docs(*texts))
+    state = sharding.even_out(sharding.propagate(rows, links, 4), 4)
+    assert sharding.cut_links(state, links).first() == (150, 0)
+    sizes = [r["n"] for r in state.selectExpr("shard", "size").groupBy("shard").agg({"size": "sum"}).toDF("shard", "n").collect()]
+    assert max(sizes) - min(sizes) <= 200
+
+
 def test_block_spreads_to_aliases(spark):
     link = '<html><link rel="canonical" href="{}"></html>'
     pages = [

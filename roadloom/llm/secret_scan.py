@@ -1,8 +1,9 @@
 """Operator 1: secrets in texts.
 
 Three fixed patterns give the base spans.  Beside them, candidate strings are scanned by a sliding window whose Shannon entropy is kept by incremental
-counts: when the window moves by a character, one count falls, one rises, and the sum of c*log2(c) changes by two table entries.  Hexadecimal and mixed
-strings have thresholds of their own, and an allow-list suppresses what is known to be harmless.  Windows that overlap make one span.  Sums are scaled
+counts: when the window moves by a character, one count falls, one rises, and the sum of c*log2(c) changes by two table entries.  Every candidate is
+scanned, with a threshold for its kind of characters: hexadecimal, one case with digits, no digits, mixed.  An allow-list suppresses the windows that
+touch what is known to be harmless: a word or UUID with the letters and digits around it, or a run of one character.  Windows that overlap make one span.  Sums are scaled
 integers, so that results don't depend on the order of additions.  DataFrame functions only; nothing is shuffled.
 
 Defined cases: a null or empty text has no spans and the checksum of the empty string; texts of any length are scanned whole; repeated rows are rows of
@@ -26,11 +27,13 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
-#: Bits a character, from which a window is suspect: at most 4 for hexadecimal digits, log2(20) = 4.32 for others.
+#: Bits a character, from which a window is suspect: at most 4 for hexadecimal digits, log2(20) = 4.32 for others; fewer letters give fewer bits.
 HEX_BITS, MIXED_BITS = 3.2, 4.0
+ONE_CASE_BITS, LETTER_BITS = 3.8, 3.9
 SCALE = 1_000_000
-#: Harmless strings: UUIDs, alphabets and digits in order, placeholders, runs of one character.
-ALLOWED = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|abcdefghij|0123456789|example|placeholder|changeme|dummy|(.)\1{7}"
+#: Harmless strings: UUIDs, alphabets and digits in order, placeholders, each with the letters and digits that it is part of; runs of one character.
+_WORDS = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|abcdefghij|0123456789|example|placeholder|changeme|dummy"
+ALLOWED = rf"(?i)(?<![0-9a-z])[0-9a-z]*?(?:{_WORDS})[0-9a-z]*|(.)\1{{7,}}"
 #: What stands before a string and tells that it is a checksum or a picture, not a secret.
 ALLOWED_BEFORE = r"(?i)(commit|md5|sha-?\d*|checksum|digest|integrity|uuid|etag|base64,)[\s:=\"'(-]*$"
 
@@ -64,11 +67,12 @@ def _terms() -> Column:
 def high_entropy(found: Column) -> Column:
     """array<struct<a, e>>: offsets within a candidate string that windows of high entropy cover."""
     is_hex = found.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
-    mixed = found.rlike("[0-9]") & found.rlike("[a-z]") & found.rlike("[A-Z]")
-    limit = F.when(is_hex, F.lit(round(SCALE * WINDOW * (math.log2(WINDOW) - HEX_BITS)))).otherwise(F.lit(round(SCALE * WINDOW * (math.log2(WINDOW) - MIXED_BITS)))).cast("long")
+    digits, mixed = found.rlike("[0-9]"), found.rlike("[0-9]") & found.rlike("[a-z]") & found.rlike("[A-Z]")
+    most = {bits: F.lit(round(SCALE * WINDOW * (math.log2(WINDOW) - bits))) for bits in (HEX_BITS, MIXED_BITS, ONE_CASE_BITS, LETTER_BITS)}
+    limit = F.when(is_hex, most[HEX_BITS]).when(mixed, most[MIXED_BITS]).when(digits, most[ONE_CASE_BITS]).otherwise(most[LETTER_BITS]).cast("long")
     part = "struct<a:int,e:int>"
 
-    def scan(codes: Column) -> Column:
+    def scan(codes: Column, allowed: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             def put(counts: Column, k: Column, by: int) -> Column:
                 return F.concat(F.slice(counts, F.lit(1), k - 1), F.array((F.element_at(counts, k) + by).cast("int")), F.slice(counts, k + 1, F.lit(128) - k))
@@ -91,8 +95,8 @@ def high_entropy(found: Column) -> Column:
                 return F.struct(put(x["n"], new, 1).alias("n"), (x["s"] - f(c) + f(c + 1)).alias("s"))
 
             def mark(x: Column) -> Column:
-                hot = (i >= WINDOW - 1) & (x["s"] <= limit)
                 a, e = i - WINDOW + 1, i + 1
+                hot = (i >= WINDOW - 1) & (x["s"] <= limit) & ~F.exists(allowed, lambda y: (y["start"] < e) & (a < y["end"]))
                 apart = hot & (acc["e"] < a) & (acc["e"] > 0)
                 return F.struct(
                     x["n"].alias("n"), x["s"].alias("s"), acc["f"].alias("f"),
@@ -107,7 +111,7 @@ def high_entropy(found: Column) -> Column:
         return let(last, lambda x: F.when(x["e"] > 0, F.concat(x["out"], F.array(F.struct(x["a"].alias("a"), x["e"].alias("e"))))).otherwise(x["out"]))
 
     codes = F.transform(F.split(found, ""), lambda ch: F.ascii(ch))
-    return F.when(is_hex | mixed, let(codes, scan)).otherwise(F.array().cast(f"array<{part}>"))
+    return let(codes, lambda c: let(_placed(found, ALLOWED), lambda allowed: scan(c, allowed)))
 
 
 def secrets(text: Column) -> tuple[Column, Column]:
@@ -115,7 +119,7 @@ def secrets(text: Column) -> tuple[Column, Column]:
     text = F.coalesce(text, F.lit(""))
     assign = F.filter(_placed(text, ASSIGN), lambda x: F.length(x["value"]) >= 8)
     base = F.sort_array(F.concat(_as_spans(assign, "assign"), _as_spans(_placed(text, ACCESS), "access"), _as_spans(_placed(text, HEX), "hex")))
-    able = F.filter(_placed(text, CANDIDATE), lambda x: ~x["found"].rlike(ALLOWED) & ~x["before"].rlike(ALLOWED_BEFORE))
+    able = F.filter(_placed(text, CANDIDATE), lambda x: ~x["before"].rlike(ALLOWED_BEFORE))
 
     def spans(x: Column) -> Column:
         hexed = x["found"].rlike("^[0-9a-f]+$|^[0-9A-F]+$")

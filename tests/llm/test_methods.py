@@ -40,6 +40,18 @@ def test_allow_list(docs):
     assert [len(s) > 0 for s in found] == [True, False, False]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"])
+def test_keys_of_every_alphabet_are_scanned(docs, alphabet):
+    rng = random.Random(11)
+    key = "".join(rng.choice(alphabet) for _ in range(60))
+    texts = (f"see {key} there", f"see example_x={key} there", f"see {key}/{'A' * 8}/{key} there", f"see {key}EXAMPLE there")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(*texts)).collect()}
+    assert found[0] and found[1] and not found[3]
+    assert {s["start"] < 64 for s in found[2]} == {True, False}  # on both sides of the run
+    harmless = f"see {'a-very-long-' * 5} and {'xyz' * 20} there"
+    assert not secret_scan.scan(docs(harmless)).first()["spans"]
+
+
 def test_quality_rejects_documents_of_frequent_lines(docs):
     menu = "\n".join(f"menu line {chr(97 + i)} of this very site with words" for i in range(6))
     texts = [menu + f"\nlast{i} bit{i}" for i in range(30)] + [menu + "\n" + words(200, 1000 * i) for i in range(5)]

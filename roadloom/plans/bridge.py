@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from roadloom.operators.network import Network
 
 COLUMNS = 40
+#: Events until a trip turns back, within its row.
+TURN = 80
 CLASSES = (1, 3, 5, 7, 9, 10, 10, 50)
 CLASS_NAMES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified", "service")
 
@@ -39,12 +41,16 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
     return Network(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traces(spark: SparkSession, sf_dir: str, most: int | None = 12) -> DataFrame:
+    """A trip for each user along a row of nodes, of so many events at most as the SQL has it, or of all (None); it turns back before the row's end."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     rows = F.floor((read(spark, sf_dir, "part").count() - 1) / F.lit(COLUMNS)) + 1
-    ev = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("k", k).where("k < 12")
+    ev = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("k", k)
+    ev = ev if most is None else ev.where(F.col("k") < most)
+    k = F.pmod(F.col("k"), F.lit(2 * TURN))
+    step = F.least(k, 2 * TURN - k)
     lat = F.lit(33.90) + F.lit(0.0015) * (F.col("user_id") % rows) + F.lit(0.00003) * (F.floor(F.col("value") * 100) % 7 - 3)
-    return ev.select(F.col("user_id").alias("trip"), F.col("k").cast("int").alias("layer"), "ts", (F.lit(-118.30) + F.lit(0.002) * (F.lit(0.3) + F.lit(0.45) * F.col("k"))).alias("lon"), lat.alias("lat"))
+    return ev.select(F.col("user_id").alias("trip"), F.col("k").cast("int").alias("layer"), "ts", (F.lit(-118.30) + F.lit(0.002) * (F.lit(0.3) + F.lit(0.45) * step)).alias("lon"), lat.alias("lat"))
 
 
 # The same in SQL.

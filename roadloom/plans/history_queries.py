@@ -105,5 +105,5 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """The traces as a stream of one batch, matched by the stateful operator."""
     from roadloom.streaming.matcher import match_batch
 
-    t = B.traces(spark, d).select(F.col("trip").alias("vehicle_id"), "ts", "lon", "lat")
+    t = B.traces(spark, d, None).select(F.col("trip").alias("vehicle_id"), "ts", "lon", "lat")
     return match_batch(t, B.network(spark, d))

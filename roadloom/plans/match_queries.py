@@ -12,8 +12,8 @@ from roadloom.plans.queries import query
 BASE = f"{B.BASE_SQL}, {B.CANDIDATES_SQL}"
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.candidates(B.traces(spark, d).select("trip", "layer", "lon", "lat"), B.network(spark, d).fat_edges())
+def _candidates(spark: SparkSession, d: str, most: int | None = 12) -> DataFrame:
+    return spatial.candidates(B.traces(spark, d, most).select("trip", "layer", "lon", "lat"), B.network(spark, d).fat_edges())
 
 
 @query(f"{BASE} select trip, layer, node, source, target, way_id, round(px, 6) as lon, round(py, 6) as lat, round(fraction, 6) as fraction, emission from candidates")
@@ -60,7 +60,7 @@ def layer_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str, solver: str = "fastest") -> matching.Matched:
-    return matching.match(B.traces(spark, d), B.network(spark, d), matching.Options(solver=solver))
+    return matching.match(B.traces(spark, d, None), B.network(spark, d), matching.Options(solver=solver))
 
 
 @query()
@@ -85,7 +85,7 @@ def match_selective(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hop_lengths(spark: SparkSession, d: str) -> DataFrame:
-    hops = matching.hops(_candidates(spark, d), B.network(spark, d), matching.Options())
+    hops = matching.hops(_candidates(spark, d, None), B.network(spark, d), matching.Options())
     return hops.select("trip", "layer", "a_node", "b_node", "method", F.round("route", 3).alias("route"), F.round("straight", 3).alias("straight"), F.round("turns", 6).alias("turns"), "cost")
 
 

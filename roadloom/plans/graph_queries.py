@@ -161,7 +161,7 @@ select p.root, p.dest, min(r.cost) as cost from pairs p join r on r.root = p.roo
 def route_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = B.network(spark, d)
     pairs = n.nodes.where("node_id % 100 = 1").select(F.col("node_id").alias("root"), (F.col("node_id") + 3).alias("dest"))
-    return reach.routes(pairs, n.edges, most_hops=9).select("root", "dest", "cost")
+    return reach.routes(pairs, n.edges).select("root", "dest", "cost")
 
 
 _LINES = "select user_id as key, list(1 + (event_id * 13) % (select count(*) from part) order by ts, event_id) as ids from steps where k < 6 group by user_id"

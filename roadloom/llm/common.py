@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +73,29 @@ def held(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession, "held").put(df)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a Python worker's function of batches, that gives the memory it has freed back to the machine at its task's end: idle workers stay for later tasks,
+    and the allocators would keep what the largest task needed."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

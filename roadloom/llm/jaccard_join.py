@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, salted, shuffle_partitions, table
+from roadloom.llm.common import Scratch, held, lean, salted, shuffle_partitions, table
 from roadloom.llm.graph import components
 
 SEEDS, LEADERS, AT_ONCE, BITMAP_BITS = 3, 16, 4096, 23
@@ -331,7 +331,7 @@ def _able(entries: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Large buckets' entries (sig, node, s, u, sketch) that may link with another of the same bucket: s is the set's size, u the number of its features
     that no other set of a large bucket has."""
     own = sets.join(entries.select("node").distinct(), "node", "left_semi")
-    alone = own.select("node", "features").mapInPandas(_features, "node bigint, f bigint").groupBy("f").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = own.select("node", "features").mapInPandas(lean(_features), "node bigint, f bigint").groupBy("f").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     sizes = own.select("node", "s", *SKETCH).join(alone.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
     sizes = sizes.withColumn("u", F.coalesce("u", F.lit(0))).where((F.col("s") - F.col("u")) * q >= F.col("s") * p)
     rows = held(entries.join(sizes, "node").select("sig", "node", "s", "u", *SKETCH))
@@ -363,14 +363,14 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     spark, p, q = docs.sparkSession, similarity.numerator, similarity.denominator
     scratch, parts = Scratch(spark, "jaccard"), shuffle_partitions(spark)
     keyed = _texts_key(docs)
-    met = scratch.put(keyed.mapInPandas(_signer(n, similarity, parts), SIGNED).repartition(parts, "part").drop("part").mapInPandas(_meet, MET))
+    met = scratch.put(keyed.mapInPandas(lean(_signer(n, similarity, parts)), SIGNED).repartition(parts, "part").drop("part").mapInPandas(lean(_meet), MET))
     rows = met.where(F.col("kind") == DOCUMENT).select("doc_id", "text_key", "n", "node")
     whole = met.where(F.col("kind") == ENTRY).select(F.col("other").alias("sig"), "node")
     pairs = held(_ordered(met.where(F.col("kind") == PAIR).select(F.col("node").alias("a"), F.col("other").alias("b"))))
     # the sets of nodes that met another: their texts are known by a bitmap of fixed size, so texts are neither shuffled nor all taken apart again
     near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(whole.select("node")).distinct()
     sent = spark.sparkContext.broadcast(_bitmap(salted(rows, near, ["node"]).select("text_key")))
-    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(_filler(n, sent), SETS).dropDuplicates(["node"]))
+    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(lean(_filler(n, sent)), SETS).dropDuplicates(["node"]))
     sent.unpersist()
     marks = sets.select("node", "s", *SKETCH)
     other = marks.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("s", *SKETCH)))
@@ -385,7 +385,7 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     while True:
         used = salted(sets.select("node", "features"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), ["node"])
         one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}), "a")
-        new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}), "b").mapInPandas(_compare(p, q), "a bigint, b bigint"))
+        new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}), "b").mapInPandas(lean(_compare(p, q)), "a bigint, b bigint"))
         compared = pairs if compared is None else compared.union(pairs)
         links = new if links is None else links.union(new)
         roots = held(components(links))

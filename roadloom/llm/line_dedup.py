@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, ranked, table
+from roadloom.llm.common import Scratch, held, lean, ranked, table
 
 LEAST_WORDS = 50
 #: Bytes of text that are looked at together in a Python worker.
@@ -185,8 +185,12 @@ def cut(text: str, edges: np.ndarray) -> tuple[str, int, int]:
 
 def _cut_udf():
     @F.pandas_udf(CUT)
-    def run(text: pd.Series, edges: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, 0, 0) if t is None or e is None else cut(t, e) for t, e in zip(text, edges, strict=True)], columns=["text", "lines", "words"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from lean(each)(batches)
+
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, edges in batches:
+            yield pd.DataFrame([(None, 0, 0) if t is None or e is None else cut(t, e) for t, e in zip(text, edges, strict=True)], columns=["text", "lines", "words"])
 
     return run
 
@@ -210,7 +214,7 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
     """Of documents with later copies (rk, tk, nth, cuts), cuts being the first word and the one behind the last, in turns; and whether any nth is above 1."""
     scratch = Scratch(docs.sparkSession, "passages")
     texts = docs.where("text is not null").select("doc_id", "text")
-    found = scratch.put(_keyed(texts, False).toDF("doc_id", "text", "rk", "tk").mapInArrow(_anchors(least_words), "doc_id bigint, rk bigint, tk bigint, h array<bigint>, p array<int>").where("size(h) > 0"))
+    found = scratch.put(_keyed(texts, False).toDF("doc_id", "text", "rk", "tk").mapInArrow(lean(_anchors(least_words)), "doc_id bigint, rk bigint, tk bigint, h array<bigint>, p array<int>").where("size(h) > 0"))
     nth = F.row_number().over(Window.partitionBy("rk", "tk").orderBy("d"))
     numbered = scratch.put(ranked(found, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d").withColumn("nth", nth))
     scratch.drop(found)
@@ -222,11 +226,11 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
     on = ["_rk", "_tk", *(["_nth"] if several else [])]
     keyed = _keyed(texts, several).join(twice.select("d", F.col("rk").alias("_rk"), F.col("tk").alias("_tk"), F.col("nth").alias("_nth" if several else "nth"), "twice").hint("merge"), on)
     keyed = keyed.select("d", F.col("_rk").alias("rk"), F.col("_tk").alias("tk"), F.col("_nth" if several else "nth").alias("nth"), "text", "twice")
-    windows = scratch.put(keyed.mapInArrow(_windows(least_words), "d bigint, rk bigint, tk bigint, nth int, h array<bigint>, p array<int>").where("size(h) > 0"))
+    windows = scratch.put(keyed.mapInArrow(lean(_windows(least_words)), "d bigint, rk bigint, tk bigint, nth int, h array<bigint>, p array<int>").where("size(h) > 0"))
     scratch.drop(twice)
     first = _by_document(_places(windows).groupBy("h").agg(F.min("at").alias("at")), "own")
     judged = windows.join(first, "d", "left").select("rk", "tk", "nth", "h", "p", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
-    cuts = held(judged.mapInPandas(_later(least_words), "rk bigint, tk bigint, nth int, cuts array<int>"))
+    cuts = held(judged.mapInPandas(lean(_later(least_words)), "rk bigint, tk bigint, nth int, cuts array<int>"))
     scratch.drop(windows)
     return cuts, several
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from roadloom.llm.common import Scratch, shuffle_partitions, table
+from roadloom.llm.common import Scratch, lean, shuffle_partitions, table
 
 WINDOW, OPEN, TOLERANCE, END, FAN_IN = 2048, 64, 8, 1, 16
 TOKENIZER = "word_bpe_49k.json"
@@ -199,16 +199,16 @@ def packed(docs: DataFrame, path: str, keep_ids: bool = True, window: int = WIND
     worker keeps at most, about 300 bytes each."""
     options = {"keep_ids": keep_ids, "window": window, "open_windows": open_windows, "tolerance": tolerance}
     scratch, tasks, level = Scratch(docs.sparkSession, "packing"), shuffle_partitions(docs.sparkSession), 0
-    done = scratch.put(docs.select("doc_id", "text").mapInPandas(_pack_texts(path, cached, options), PIECES))
+    done = scratch.put(docs.select("doc_id", "text").mapInPandas(lean(_pack_texts(path, cached, options)), PIECES))
     out = done.where("not open")
     while tasks > 1:
         tasks, level = -(-tasks // FAN_IN), level + 1
         left = done.where("open").select("doc_id", "start", "ids", "doc_tokens", "sequence_id")
         left = left.repartition(tasks, "sequence_id") if tasks > 1 else left.coalesce(1)
-        done = scratch.put(left.mapInPandas(_pack_left(level, tasks == 1, options), PIECES))
+        done = scratch.put(left.mapInPandas(lean(_pack_left(level, tasks == 1, options)), PIECES))
         out = out.union(done.where("not open"))
     if not level:
-        out = out.union(scratch.put(done.where("open").coalesce(1).mapInPandas(_pack_left(1, True, options), PIECES)))
+        out = out.union(scratch.put(done.where("open").coalesce(1).mapInPandas(lean(_pack_left(1, True, options)), PIECES)))
     return out.drop("open") if keep_ids else out.drop("open", "ids")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, shuffle_partitions, table
+from roadloom.llm.common import Scratch, held, lean, shuffle_partitions, table
 
 K, BINS = 20, 512
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
@@ -126,8 +126,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """vectors and queries (vec_id, v array<bigint>) to query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     scratch, parts = Scratch(spark, "topk"), shuffle_partitions(spark)
-    candidates = scratch.put(vectors.mapInPandas(_blocks(CANDIDATE_BLOCK), BLOCK))
-    asked = scratch.put(queries.coalesce(max(1, parts // 4)).mapInPandas(_blocks(QUERY_BLOCK), BLOCK))
+    candidates = scratch.put(vectors.mapInPandas(lean(_blocks(CANDIDATE_BLOCK)), BLOCK))
+    asked = scratch.put(queries.coalesce(max(1, parts // 4)).mapInPandas(lean(_blocks(QUERY_BLOCK)), BLOCK))
     n = candidates.count()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -144,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     state = queries.select(F.col("vec_id").alias("query_id"), bound.alias("high")).groupBy("query_id").agg(F.max("high").alias("high"))
     state = held(state.select("query_id", (-F.col("high")).alias("low"), "high", F.lit(k).cast("long").alias("need")))
     while state.where("low < high").take(1):
-        histogram = met(_ranges(asked, state)).mapInPandas(_histograms(), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        histogram = met(_ranges(asked, state)).mapInPandas(lean(_histograms()), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("bin").desc()))
         kth = histogram.withColumn("upto", upto).join(state, "query_id").where("upto >= need").groupBy("query_id").agg(F.max(F.struct("bin", "n", "upto")).alias("at"))
         step = F.expr(f"(high - low) div {BINS} + 1")
@@ -157,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 F.coalesce(F.col("need") - (F.col("at.upto") - F.col("at.n")), F.col("need")).alias("need"),
             )
         )
-    best = met(_ranges(asked, state)).mapInPandas(_above(k), "query_id bigint, vec_id bigint, score bigint")
+    best = met(_ranges(asked, state)).mapInPandas(lean(_above(k)), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import table
+from roadloom.llm.common import lean, table
 
 SAMPLE, GRADES, FEATURES, SEED, SPACE_BITS = 4000, 4, 20_000, 41, 22
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -165,7 +165,7 @@ def _scorer(model: Model | None):
 def graded(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, text_key, severity (expected grade), p_toxic and grade for every row of docs."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInPandas(_scorer(model), "doc_id bigint, text_key bigint, severity double, p_toxic double, grade int")
+    return rows.mapInPandas(lean(_scorer(model)), "doc_id bigint, text_key bigint, severity double, p_toxic double, grade int")
 
 
 def clean(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -177,7 +177,7 @@ def clean(docs: DataFrame, model: Model | None) -> DataFrame:
             p = next(score(iter([frame[["text"]]])))["p_toxic"]
             yield frame[(p < 0.5).to_numpy()]
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInPandas(lean(keep), docs.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

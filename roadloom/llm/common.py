@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 #: The white space of every contract here: a word is a longest run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: Copies of a small side when a join's key may be hot.
-SALTS = 16
-#: Rows that are broadcast at most: of some numbers each, about 10 MB.
-FEW = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             named = "file://" + tempfile.mkdtemp(prefix="roadloom-")
             sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -112,18 +110,13 @@ def n_words(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def salted(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on keys of which any may be hot in `big`.
+def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which any may be hot in `big`, to unique keys in `small`; the same plan at any size.
 
-    `small`, narrow rows of unique keys, is written and counted: up to FEW rows of it are broadcast; beyond that, the rows of `big` are dealt to SALTS
-    copies of each of its rows.
+    It is a sort-merge join, of which AQE splits the partitions that hot keys swell, since nothing here needs the rows dealt by the same keys afterwards.  Only
+    where `small` is known to be below spark.sql.autoBroadcastJoinThreshold does the planner broadcast it.
     """
-    small = held(small)
-    if small.count() <= FEW:
-        return big.join(F.broadcast(small), list(on), how)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, list(on), how)
 
 
 def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:

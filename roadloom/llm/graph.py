@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import drop, held, salted
+from roadloom.llm.common import drop, held, join_hot
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,9 +19,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_hot(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = salted(large, least, ["u"])
+        joined = join_hot(large, least, ["u"])
         small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
         new = held(small)
         drop(pairs)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, lean, salted, shuffle_partitions, table
+from roadloom.llm.common import Scratch, held, join_hot, lean, shuffle_partitions, table
 from roadloom.llm.graph import components
 
 SEEDS, LEADERS, AT_ONCE, BITMAP_BITS = 3, 16, 4096, 23
@@ -340,7 +340,7 @@ def _able(entries: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     other = kinds.select("sig", F.col("s").alias("s_a"), F.col("u").alias("u_a"))
     same = (F.col("s") == F.col("s_a")) & (F.col("u") == F.col("u_a"))
     fine = kinds.join(other, "sig").where(_room(p, q) & (~same | (F.col("c") > 1))).select("sig", "s", "u").distinct()
-    return salted(rows, fine, ["sig", "s", "u"])
+    return join_hot(rows, fine, ["sig", "s", "u"])
 
 
 def _bitmap(keys: DataFrame) -> bytes:
@@ -369,7 +369,7 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     pairs = held(_ordered(met.where(F.col("kind") == PAIR).select(F.col("node").alias("a"), F.col("other").alias("b"))))
     # the sets of nodes that met another: their texts are known by a bitmap of fixed size, so texts are neither shuffled nor all taken apart again
     near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(whole.select("node")).distinct()
-    sent = spark.sparkContext.broadcast(_bitmap(salted(rows, near, ["node"]).select("text_key")))
+    sent = spark.sparkContext.broadcast(_bitmap(join_hot(rows, near, ["node"]).select("text_key")))
     sets = scratch.put(keyed.select("text", "text_key").mapInPandas(lean(_filler(n, sent)), SETS).dropDuplicates(["node"]))
     sent.unpersist()
     marks = sets.select("node", "s", *SKETCH)
@@ -379,11 +379,11 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     links = roots = compared = None
     lead = whole.groupBy("sig").agg(F.min(F.struct("u", "node", "s", *SKETCH)).alias("x"), F.count("*").alias("c")).where("c > 1")
     lead = lead.select("sig", "x.*").select("sig", *_as_other())
-    star = salted(whole, lead, ["sig"]).where((F.col("a") != F.col("node")) & _close(p, q)).select("a", F.col("node").alias("b"))
+    star = join_hot(whole, lead, ["sig"]).where((F.col("a") != F.col("node")) & _close(p, q)).select("a", F.col("node").alias("b"))
     pairs = held(pairs.union(_ordered(star)).distinct())  # each node with its buckets' leaders, and small buckets whole
     led = held(lead.select("sig", F.col("a").alias("node")))
     while True:
-        used = salted(sets.select("node", "features"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), ["node"])
+        used = join_hot(sets.select("node", "features"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), ["node"])
         one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}), "a")
         new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}), "b").mapInPandas(lean(_compare(p, q)), "a bigint, b bigint"))
         compared = pairs if compared is None else compared.union(pairs)
@@ -392,14 +392,14 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
         if not whole.take(1):
             break
         # large buckets that still hold nodes of several components
-        of = held(salted(whole, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node")))
+        of = held(join_hot(whole, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node")))
         several = of.groupBy("sig", "root").count().groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top")).where("roots > 1").select("sig", F.col("top.root").alias("top"))
-        open_ = salted(of, several, ["sig"]).where("root != top").join(led, ["sig", "node"], "left_anti")
+        open_ = join_hot(of, several, ["sig"]).where("root != top").join(led, ["sig", "node"], "left_anti")
         order = Window.partitionBy("sig").orderBy("u", "node")
         leaders = held(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AT_ONCE).select("sig", *_as_other(F.col("root").alias("ra"))))
         if not leaders.take(1):
             break
-        pairs = _ordered(salted(of, leaders, ["sig"]).where((F.col("root") != F.col("ra")) & _close(p, q)).select("a", F.col("node").alias("b")))
+        pairs = _ordered(join_hot(of, leaders, ["sig"]).where((F.col("root") != F.col("ra")) & _close(p, q)).select("a", F.col("node").alias("b")))
         pairs = held(pairs.join(compared, ["a", "b"], "left_anti"))
         led = led.union(leaders.select("sig", F.col("a").alias("node")))
     scratch.drop(sets)
@@ -408,14 +408,14 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
 
 def classed(joined: Joined) -> DataFrame:
     """doc_id, text_key, n, node and component: the node's root, null for documents without features."""
-    out = salted(joined.docs, joined.roots, ["node"], "left")
+    out = join_hot(joined.docs, joined.roots, ["node"], "left")
     return out.select("doc_id", "text_key", "n", "node", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("component"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     rows = held(classed(join(table(spark, sf_dir, "documents"), 4, Fraction(85, 100))))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
-    out = salted(rows, least, ["component"], "left")
+    out = join_hot(rows, least, ["component"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -425,7 +425,7 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4,
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
     per = held(rows.where("component is not null").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("c")))
     best = per.groupBy("component").agg(F.min(order).alias("first"), F.sum("c").alias("c")).where("c > 1").select("component", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t"))
-    grouped = held(salted(per, best, ["component"]))
+    grouped = held(join_hot(per, best, ["component"]))
     first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
     gone = grouped.where(~first).select("doc_id", "text_key")
     twice = grouped.where(first & (F.col("c") > 1)).select("doc_id", "text_key")

@@ -14,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import bucket_bits, held, n_words, ranked, running, salted, table
+from roadloom.llm.common import bucket_bits, held, join_hot, n_words, ranked, running, table
 
 SEED, MAX_EPOCHS = 29, 3.0
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Up to so many sources, a row of five numbers each, are broadcast to the texts.
-FEW_SOURCES = 50_000
 
 
 def _place(docs: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def cuts(rows: DataFrame, per: DataFrame) -> DataFrame:
     """One row a source: s_null, s, source_size, target, whole (times that all its documents are taken) and cut: documents with h up to it are taken once more."""
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(epochs)).withColumn("part", (epochs - F.col("whole")) * F.col("source_size"))
-    joined = held(salted(rows.select("row", "s_null", "s", "size", "h"), per.select("s_null", "s", "place", "part"), ["s_null", "s"]))
+    joined = held(join_hot(rows.select("row", "s_null", "s", "size", "h"), per.select("s_null", "s", "place", "part"), ["s_null", "s"]))
     at = running(joined, ["place"], "h", "row", F.col("size"), "_at", bucket_bits(joined.count()))
     cut = at.where(F.col("_at") + F.col("size") / 2 < F.col("part")).groupBy("place").agg(F.max("h").alias("cut"))
     return held(per.join(cut, "place", "left").select("s_null", "s", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")))
@@ -68,17 +66,17 @@ def _times() -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, times (how often the document is taken) and taken (its words times that), a row a document."""
     rows = measured(docs)
-    out = salted(rows, cuts(rows, targets(rows, weights, max_epochs)), ["s_null", "s"]).withColumn("times", _times())
+    out = join_hot(rows, cuts(rows, targets(rows, weights, max_epochs)), ["s_null", "s"]).withColumn("times", _times())
     return out.select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.  Texts are not shuffled while the sources are few enough to send to every task."""
+    """The documents themselves, each as often as the mix takes it.  Texts are not shuffled while the planner may broadcast the sources."""
     rows = measured(docs)
     per = cuts(rows, targets(rows, weights, max_epochs)).select(F.col("s_null").alias("_s_null"), F.col("s").alias("_s"), "whole", "cut")
     per = per.toDF("_s_null", "_s", "_whole", "_cut")
     own = _place(docs)
-    joined = own.join(F.broadcast(per), ["_s_null", "_s"]) if per.count() <= FEW_SOURCES else salted(own, per, ["_s_null", "_s"])
+    joined = join_hot(own, per, ["_s_null", "_s"])  # a written table, so the planner knows its bytes
     times = F.col("_whole") + (F.col("_h") <= F.col("_cut")).cast("long")
     return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 

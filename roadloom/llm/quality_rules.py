@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACES, held, let, salted, table, words
+from roadloom.llm.common import SPACES, held, join_hot, let, table, words
 
 # Fixed values of the base rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -76,7 +76,7 @@ def frequent_lines(base: DataFrame, share: float = LINE_SHARE, least: int = LEAS
     held_by = base.select("host", "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     # the pair and text first, then the pair: neither step gathers the rows of a hot line or host in a task
     counts = held_by.groupBy("host", "line", "t").agg(F.lit(1).alias("_")).groupBy("host", "line").count().where(F.col("count") > least)
-    return salted(counts, texts, ["host"]).where(F.col("count") > F.col("texts") * F.lit(share)).select("host", "line")
+    return join_hot(counts, texts, ["host"]).where(F.col("count") > F.col("texts") * F.lit(share)).select("host", "line")
 
 
 def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_TEXTS, least_kept: float = LEAST_KEPT) -> DataFrame:
@@ -84,7 +84,7 @@ def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_TEXTS,
     base = held(base_rules(docs))
     frequent = held(frequent_lines(base, share, least))
     rows = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    removed = salted(rows, frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"))
+    removed = join_hot(rows, frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"))
     out = base.drop("lines", "t", "host").join(removed, "row", "left").withColumn("words_removed", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed", "row")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stay = F.col("n_words") - F.col("words_removed")

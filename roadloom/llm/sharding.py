@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import bucket_bits, held, running, salted, table
+from roadloom.llm.common import bucket_bits, held, join_hot, running, table
 
 SEED, ROUNDS, SLACK = 17, 8, 0.01
 #: Movers to a shard are let through by the first bits of a hash of their hub, so many at once.
@@ -33,7 +33,7 @@ def documents_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     shared = rows.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.xxhash64("key").alias("hub"))
-    links = salted(rows.where("key is not null").select("row", "key"), shared, ["key"]).select("row", "hub")
+    links = join_hot(rows.where("key is not null").select("row", "key"), shared, ["key"]).select("row", "hub")
     return rows.drop("key"), links
 
 
@@ -81,7 +81,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = 8, rounds: int =
         placed = linked.join(now, "row")
         # bytes of each hub in each shard: partial sums come first, so a hot hub is a few rows for each task
         held_by = placed.groupBy("hub").agg(*(F.sum(F.when(F.col("shard") == k, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(shards)))
-        score = salted(placed, held_by, ["hub"]).groupBy("row").agg(F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
+        score = join_hot(placed, held_by, ["hub"]).groupBy("row").agg(F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("hub").alias("first"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(shards)))
         # most bytes win among the shards with room for the others; ties by an order of the shards that the hub decides, so both ends of a link ask for the same shard
         all_of = sum((F.col(f"s{k}") for k in range(1, shards)), F.col("s0"))
         fits = [all_of - F.col(f"s{k}") <= max(0.0, capacity - linked_size[k]) for k in range(shards)]

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import held, salted, table
+from roadloom.llm.common import held, join_hot, table
 from roadloom.llm.graph import components
 
 # Fixed values: (host, path, verdict).
@@ -91,8 +91,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redi
     by_target = rule_for(host_of(F.col("to")), path_of(F.col("to")), rules)["verdict"] == "block"
     blocked = own.where("known and own.verdict = 'block'").select("node").union(targets.where(by_target).select(F.col("other").alias("node"))).distinct()
     blocked = blocked.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct().withColumn("blocked_alias", F.lit(True))
-    classes = salted(own.drop("links", "url"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    out = salted(classes, blocked, ["root"], "left").withColumn("blocked_alias", F.coalesce("blocked_alias", F.lit(False)) & F.col("known"))
+    classes = join_hot(own.drop("links", "url"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    out = join_hot(classes, blocked, ["root"], "left").withColumn("blocked_alias", F.coalesce("blocked_alias", F.lit(False)) & F.col("known"))
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("blocked_alias"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "blocked_alias")
 

@@ -113,10 +113,22 @@ def n_words(text: Column) -> Column:
 def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on keys of which any may be hot in `big`, to unique keys in `small`; the same plan at any size.
 
-    It is a sort-merge join, of which AQE splits the partitions that hot keys swell, since nothing here needs the rows dealt by the same keys afterwards.  Only
-    where `small` is known to be below spark.sql.autoBroadcastJoinThreshold does the planner broadcast it.
+    It is a sort-merge join, of which AQE splits the partitions that hot keys swell, since nothing here needs the rows dealt by the same keys afterwards.  AQE
+    does so only where both sides are shuffled right before: coalesce() to no fewer partitions moves nothing, but lets the planner forget that an aggregate
+    has left `small` dealt by its keys.  Only where `small` is known to be below spark.sql.autoBroadcastJoinThreshold is it broadcast.
     """
-    return big.join(small, list(on), how)
+    return big.join(small.coalesce(1 << 20), list(on), how)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns, lengthened until df has none of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:

@@ -1,9 +1,11 @@
 """Operator 7: a Jaccard join of word n-grams by PartEnum signatures.
 
-Sets whose sizes may go together share a size band.  Within a band, two sets with the wanted similarity differ in at most k features, so when the
-feature domain is dealt to more than k parts, at least one part is the same in both: a signature is the hash of one part's features.  Parts that are
-empty say nothing; spare parts make up for them, and sets with more empty parts than spare ones sign again under another seed (sets that have too many
-under every seed sign their band).  So no similar pair is missed, and each signature covers several features, so few others meet.
+Sets whose sizes may go together share a size band.  Within a band, two sets with the wanted similarity differ in at most k features.  The feature domain
+is dealt to k // 2 + 1 parts, so in at least one of them the sets differ in one feature at most; each part is dealt to three smaller ones, and two of
+these are the same in both sets.  So a signature is the hash of a set's features in one of the three pairs of smaller parts, and each set has all three
+for each part.  Pairs without features say nothing; spare parts make up for them, and sets with more parts that have such a pair than there are spare
+ones sign again under another seed (sets that have too many under every seed sign their band).  So no similar pair is missed, and each signature covers
+several features, so few others meet.
 
 Equal sets are one node from the start.  Signatures travel in packed blocks, a node's once from each task.  In each bucket all nodes are compared with
 a leader, and components of the links found; buckets that still hold several components choose further leaders, at most AT_ONCE a round, until every
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,10 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, join_hot, lean, shuffle_partitions, table
+from roadloom.llm.common import Scratch, free, held, join_hot, lean, shuffle_partitions, table
 from roadloom.llm.graph import components
 
 SEEDS, LEADERS, AT_ONCE, BITMAP_BITS = 3, 16, 4096, 23
+#: Second-level parts of each first-level one; signatures are of all but one of them.
+SECOND = 3
+#: Signatures that are put together at once.
+AT_A_TIME = 500_000
+#: Sets that a worker remembers as sent.
+REMEMBERED = 200_000
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -68,7 +77,7 @@ def shingles(text: str | None, n: int, known: Words) -> np.ndarray:
 class Bands:
     """Size bands for pairs with similarity of at least p/q: the smaller set's size is in [low, high) of the band, the larger one's up to high*q/p."""
 
-    def __init__(self, similarity: Fraction, ratio: Fraction = Fraction(3, 2), spare: float = 0.08):
+    def __init__(self, similarity: Fraction, ratio: Fraction = Fraction(3, 2), spare: float = 0.1):
         self.p, self.q, self.ratio, self.spare = similarity.numerator, similarity.denominator, ratio, spare
         self.lows, self.k = [1], []
 
@@ -89,9 +98,9 @@ class Bands:
         return out
 
     def parts(self, band: int) -> tuple[int, int]:
-        """How many parts the domain has, and how many of them may be empty."""
-        spare = round(self.spare * self.k[band])
-        return self.k[band] + 1 + spare, spare
+        """How many first-level parts the domain has, and how many of them may have an empty pair of second-level parts."""
+        spare = round(self.spare * self.k[band] / 2)
+        return self.k[band] // 2 + 1 + spare, spare
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +116,28 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
             break
         n = np.array([bands.parts(b)[0] for b in band], np.int64)
         spare = np.array([bands.parts(b)[1] for b in band], np.int64)
+        whole = np.array([bands.k[b] == 0 for b in band])  # equal sets alone are similar: one signature, of all features
         start = np.concatenate(([0], np.cumsum(n)))
         sizes = np.array([len(sets[i]) for i in owner], np.int64)
         flat = mixed(np.concatenate([sets[i] for i in owner]) + np.uint64(0xD1B54A32D192ED03 * (seed + 1) & 0xFFFFFFFFFFFFFFFF))
-        slot = np.repeat(start[:-1], sizes) + ((flat >> np.uint64(32)) % np.repeat(n, sizes).astype(np.uint64)).astype(np.int64)
-        total, full = np.zeros(start[-1], np.uint64), np.bincount(slot, minlength=start[-1])
+        first = np.repeat(start[:-1], sizes) + ((flat >> np.uint64(32)) % np.repeat(n, sizes).astype(np.uint64)).astype(np.int64)
+        second = np.where(np.repeat(whole, sizes), 0, ((flat & np.uint64(0xFFFFFFFF)) % np.uint64(SECOND)).astype(np.int64))
+        slot = first * SECOND + second
+        total, full = np.zeros(start[-1] * SECOND, np.uint64), np.bincount(slot, minlength=start[-1] * SECOND).reshape(-1, SECOND)
         np.add.at(total, slot, mixed(flat))
+        total = total.reshape(-1, SECOND)
         member = np.repeat(np.arange(len(owner)), n)
         part = np.arange(start[-1]) - start[:-1][member]
-        place = (band[member].astype(np.uint64) << np.uint64(40)) + (part.astype(np.uint64) << np.uint64(4)) + np.uint64(seed)
-        sig = mixed(total + mixed(place + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        keep = full > 0
-        found.append((owner[member[keep]], sig[keep]))
-        again = np.bincount(member[~keep], minlength=len(owner)) > spare
+        weak = np.zeros(len(member), bool)
+        for j, (a, b) in enumerate(combinations(range(SECOND), SECOND - 1)):
+            some = full[:, a] + full[:, b]
+            place = (band[member].astype(np.uint64) << np.uint64(40)) + (part.astype(np.uint64) << np.uint64(8)) + np.uint64(seed * 16 + j)
+            sig = mixed(total[:, a] + total[:, b] + mixed(place + some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            able = ~whole[member] if j else np.ones(len(member), bool)
+            weak |= able & (some == 0)
+            keep = able & (some > 0)
+            found.append((owner[member[keep]], sig[keep]))
+        again = np.bincount(member[weak], minlength=len(owner)) > spare
         owner, band = owner[again], band[again]
     if len(owner):
         found.append((owner, mixed(band.astype(np.uint64) + np.uint64(0xABCDEF1234567))))
@@ -145,6 +163,19 @@ def _combined(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((packed[~behind], marks)), packed[behind]
 
 
+def _block(packed: np.ndarray) -> bytes:
+    """(signature, node) rows as bytes: how many signatures and nodes there are, the signatures, the nodes, and each signature's node by its place."""
+    nodes, place = np.unique(packed[:, 1], return_inverse=True)
+    kind = np.uint16 if len(nodes) <= 1 << 16 else np.uint32
+    return np.array([len(packed), len(nodes)], np.uint64).tobytes() + packed[:, 0].tobytes() + nodes.tobytes() + place.astype(kind).tobytes()
+
+
+def _rows_of(block: bytes) -> np.ndarray:
+    rows, nodes = map(int, np.frombuffer(block, np.uint64, 2))
+    place = np.frombuffer(block, np.uint16 if nodes <= 1 << 16 else np.uint32, rows, 16 + 8 * (rows + nodes))
+    return np.column_stack((np.frombuffer(block, np.uint64, rows, 16), np.frombuffer(block, np.uint64, nodes, 16 + 8 * rows)[place]))
+
+
 SIGNED = "part int, doc_id bigint, text_key bigint, n bigint, node bigint, block binary"
 
 
@@ -166,10 +197,10 @@ def _signer(n: int, similarity: Fraction, parts: int, features: int = 200_000):
                 yield pd.DataFrame({"part": (np.arange(start, stop) % parts).astype(np.int32), "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "n": [len(s) for s in sets], "node": nodes, "block": None})
                 fresh, own = [], []
                 for i, s in enumerate(sets):
-                    if len(s) and nodes[i] not in sent:
-                        if len(sent) > 2_000_000:
+                    if len(s) and int(nodes[i]) not in sent:
+                        if len(sent) > REMEMBERED:
                             sent.clear()
-                        sent.add(nodes[i])
+                        sent.add(int(nodes[i]))
                         fresh.append(s)
                         own.append(nodes[i])
                 who, sig = signatures(fresh, bands) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -184,7 +215,7 @@ def _signer(n: int, similarity: Fraction, parts: int, features: int = 200_000):
                     packed = packed[order]
                     ends = np.searchsorted(to[order], np.arange(parts + 1))
                     used = [p for p in range(parts) if ends[p] < ends[p + 1]]
-                    yield pd.DataFrame({"part": np.array(used, np.int32), "doc_id": pd.array([None] * len(used), "Int64"), "text_key": 0, "n": -1, "node": 0, "block": [packed[ends[p] : ends[p + 1]].tobytes() for p in used]})
+                    yield pd.DataFrame({"part": np.array(used, np.int32), "doc_id": pd.array([None] * len(used), "Int64"), "text_key": 0, "n": -1, "node": 0, "block": [_block(packed[ends[p] : ends[p + 1]]) for p in used]})
                 start = stop
 
     return sign
@@ -211,14 +242,19 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(behind):
             node, sig = behind["node"].to_numpy(np.int64), np.frombuffer(b"".join(behind["block"]), np.uint64)
             yield from _rows(ENTRY, node, sig)
-        blocks += [np.frombuffer(b, np.uint64).reshape(-1, 2) for b in frame.loc[frame["n"] == -1, "block"]]
-    if not blocks:
-        return
-    all_ = np.concatenate(blocks)
-    del blocks
+        blocks += list(frame.loc[frame["n"] == -1, "block"])
+    rows = sum(int(np.frombuffer(b, np.uint64, 1)[0]) for b in blocks)
+    rounds = -(-rows // AT_A_TIME)
+    for turn in range(rounds):  # packed blocks are what is held; of the signatures in them, a share at a time is taken out
+        own = [x[mixed(x[:, 0]) % np.uint64(rounds) == turn] if rounds > 1 else x for x in map(_rows_of, blocks)]
+        yield from _buckets(np.concatenate(own))
+
+
+def _buckets(all_: np.ndarray) -> Iterator[pd.DataFrame]:
+    """All rows (signature, node) of some signatures, to pairs and entries."""
     all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
-    all_ = all_[np.concatenate(([True], (all_[1:] != all_[:-1]).any(1)))]
-    first = np.flatnonzero(np.concatenate(([True], all_[1:, 0] != all_[:-1, 0])))
+    all_ = all_[np.concatenate((np.ones(min(1, len(all_)), bool), (all_[1:] != all_[:-1]).any(1)))]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(all_)), bool), all_[1:, 0] != all_[:-1, 0])))
     size = np.diff(np.concatenate((first, [len(all_)])))
     marked = all_[first, 1] == 0
     small = ~marked & (size <= LEADERS + 1)
@@ -228,8 +264,7 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(m):
             for j in range(i + 1, m):
                 pairs.append(np.column_stack((all_[at + i, 1], all_[at + j, 1])))
-    large = np.flatnonzero(~small)
-    for g in large:
+    for g in np.flatnonzero(~small):
         own = all_[first[g] + marked[g] : first[g] + size[g]]
         yield from _rows(ENTRY, own[:, 1], own[:, 0])
     if pairs:
@@ -262,7 +297,7 @@ def _filler(n: int, bitmap) -> object:
                 s = shingles(text, n, known)
                 node = int(mixed(np.array([int(s.sum(dtype=np.uint64)) ^ len(s)], np.uint64)).astype(np.int64)[0]) if len(s) else 0
                 if len(s) and node not in sent:
-                    if len(sent) > 2_000_000:
+                    if len(sent) > REMEMBERED:
                         sent.clear()
                     sent.add(node)
                     out.append((node, len(s), *_sketch(s), s.tobytes()))
@@ -330,7 +365,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _able(entries: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Large buckets' entries (sig, node, s, u, sketch) that may link with another of the same bucket: s is the set's size, u the number of its features
     that no other set of a large bucket has."""
-    own = sets.join(entries.select("node").distinct(), "node", "left_semi")
+    own = sets.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     alone = own.select("node", "features").mapInPandas(lean(_features), "node bigint, f bigint").groupBy("f").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     sizes = own.select("node", "s", *SKETCH).join(alone.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
     sizes = sizes.withColumn("u", F.coalesce("u", F.lit(0))).where((F.col("s") - F.col("u")) * q >= F.col("s") * p)
@@ -370,9 +405,9 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     # the sets of nodes that met another: their texts are known by a bitmap of fixed size, so texts are neither shuffled nor all taken apart again
     near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(whole.select("node")).distinct()
     sent = spark.sparkContext.broadcast(_bitmap(join_hot(rows, near, ["node"]).select("text_key")))
-    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(lean(_filler(n, sent)), SETS).dropDuplicates(["node"]))
+    sets = scratch.put(keyed.select("text", "text_key").mapInPandas(lean(_filler(n, sent)), SETS))  # a node's set may be there from several tasks
     sent.unpersist()
-    marks = sets.select("node", "s", *SKETCH)
+    marks = scratch.put(sets.select("node", "s", *SKETCH).dropDuplicates(["node"]))
     other = marks.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("s", *SKETCH)))
     pairs = pairs.join(other, "a").join(marks.withColumnRenamed("node", "b"), "b").where(_alike(p, q)).select("a", "b")
     whole = held(_able(whole, sets, p, q))
@@ -383,9 +418,9 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     pairs = held(pairs.union(_ordered(star)).distinct())  # each node with its buckets' leaders, and small buckets whole
     led = held(lead.select("sig", F.col("a").alias("node")))
     while True:
-        used = join_hot(sets.select("node", "features"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), ["node"])
-        one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}), "a")
-        new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}), "b").mapInPandas(lean(_compare(p, q)), "a bigint, b bigint"))
+        used = sets.select("node", "features").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+        one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}).hint("merge"), "a")
+        new = held(one.join(used.withColumnsRenamed({"node": "b", "features": "fb"}).hint("merge"), "b").mapInPandas(lean(_compare(p, q)), "a bigint, b bigint"))
         compared = pairs if compared is None else compared.union(pairs)
         links = new if links is None else links.union(new)
         roots = held(components(links))
@@ -402,7 +437,7 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
         pairs = _ordered(join_hot(of, leaders, ["sig"]).where((F.col("root") != F.col("ra")) & _close(p, q)).select("a", F.col("node").alias("b")))
         pairs = held(pairs.join(compared, ["a", "b"], "left_anti"))
         led = led.union(leaders.select("sig", F.col("a").alias("node")))
-    scratch.drop(sets)
+    scratch.drop(sets, marks)
     return Joined(rows, roots)
 
 
@@ -429,14 +464,15 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4,
     first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
     gone = grouped.where(~first).select("doc_id", "text_key")
     twice = grouped.where(first & (F.col("c") > 1)).select("doc_id", "text_key")
-    own = docs.withColumn("_key", F.xxhash64("text"))
+    (key,) = free(docs, "_key")
+    own = docs.withColumn(key, F.xxhash64("text"))
 
     def on(x: DataFrame):
-        return (own["_key"] == x["text_key"]) & own["doc_id"].eqNullSafe(x["doc_id"])
+        return (own[key] == x["text_key"]) & own["doc_id"].eqNullSafe(x["doc_id"])
 
     stay = own.join(gone, on(gone), "left_anti")
     # rows that are there several times alike: few, so they are set apart, and one of each kept
     if not twice.take(1):
-        return stay.drop("_key")
-    alike = own.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "_key"])
-    return stay.join(twice, on(twice), "left_anti").unionByName(alike).drop("_key")
+        return stay.drop(key)
+    alike = own.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", key])
+    return stay.join(twice, on(twice), "left_anti").unionByName(alike).drop(key)

@@ -417,6 +417,7 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
     star = join_hot(whole, lead, ["sig"]).where((F.col("a") != F.col("node")) & _close(p, q)).select("a", F.col("node").alias("b"))
     pairs = held(pairs.union(_ordered(star)).distinct())  # each node with its buckets' leaders, and small buckets whole
     led = held(lead.select("sig", F.col("a").alias("node")))
+    last = not whole.take(1)
     while True:
         used = sets.select("node", "features").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
         one = pairs.join(used.withColumnsRenamed({"node": "a", "features": "fa"}).hint("merge"), "a")
@@ -424,16 +425,22 @@ def join(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) ->
         compared = pairs if compared is None else compared.union(pairs)
         links = new if links is None else links.union(new)
         roots = held(components(links))
-        if not whole.take(1):
+        if last:
             break
         # large buckets that still hold nodes of several components
         of = held(join_hot(whole, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node")))
         several = of.groupBy("sig", "root").count().groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top")).where("roots > 1").select("sig", F.col("top.root").alias("top"))
         open_ = join_hot(of, several, ["sig"]).where("root != top").join(led, ["sig", "node"], "left_anti")
         order = Window.partitionBy("sig").orderBy("u", "node")
-        leaders = held(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AT_ONCE).select("sig", *_as_other(F.col("root").alias("ra"))))
+        leaders = held(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= AT_ONCE + 1).select("r", "sig", *_as_other(F.col("root").alias("ra"))))
         if not leaders.take(1):
             break
+        # where all open nodes lead, every pair of the bucket is compared or in one component after this round; the others go on
+        more = leaders.where(F.col("r") > AT_ONCE).select("sig")
+        last = not more.take(1)
+        if not last:
+            whole = held(join_hot(whole, more, ["sig"]))
+        leaders = leaders.where(F.col("r") <= AT_ONCE).drop("r")
         pairs = _ordered(join_hot(of, leaders, ["sig"]).where((F.col("root") != F.col("ra")) & _close(p, q)).select("a", F.col("node").alias("b")))
         pairs = held(pairs.join(compared, ["a", "b"], "left_anti"))
         led = led.union(leaders.select("sig", F.col("a").alias("node")))

@@ -1,17 +1,21 @@
-"""Operator 3: repeated passages, by prefix doubling over words.
+"""Operator 3: repeated passages, by a suffix array over words that prefix doubling names.
 
-Each word has a fingerprint of 64 bits, and doubling makes those of the 2, 4, 8, ... words from each position; any other length is two overlapping powers
-of two.  A passage of `least_words` words or more that stands twice is the union of windows of just so many words that stand twice, so windows are what is
-compared, wherever lines begin or end.  Only windows that can stand twice are: equal windows have an equal least fingerprint of half their length at the
-same place, their anchor.  Anchors, about one in thirteen words, are counted first; windows of anchors that stand once are left out.  Of equal windows the
-first one in the order of documents stays, and the words of later ones go, with their lines where no word of a line is left.
+A sequence of whole lines misses passages that begin or end within a line, so the units are words.  Each has a fingerprint of 64 bits, and doubling makes
+those of the 2, 4, 8, ... words from each position, the names by which suffixes are compared; any other length is two overlapping powers of two.  What is
+wanted of the suffix array are the intervals of suffixes whose longest common prefix is `least_words` or more.  Those of exactly that depth contain all
+deeper ones, and a maximal repeated run is the union of its windows of just so many words: so an interval is a name of that length that stands twice, its
+suffixes are aggregated by name wherever they lie, and the first one in the order of documents stays.  The words of later ones go, with their lines where no
+word of a line is left.
 
-No join has a fingerprint as its key, so a hot passage is one row for each task: what is alone, or first, is aggregated and brought back to its document.
+Only windows that can stand twice are named: equal windows have an equal least fingerprint of half their length at the same place, their anchor.  Anchors,
+about one in thirteen words, are counted first; windows of anchors that stand once are left out.
+
+No join has a name as its key, so a hot passage is one row for each task: what is alone, or first, is aggregated and brought back to its document.
 
 Defined cases: words are compared, not the white space between them; a line that loses some of its words keeps the others; lines without a word stay
 unless the words before and behind them go; later copies that overlap the first one in the same document lose only what lies beyond it; a null doc_id
-comes last in order, and of repeated rows one comes first; null texts stay null; a text that is a copy as a whole becomes empty; an empty table gives an
-empty result; further columns are kept.
+comes last in order, and of repeated rows (equal doc_id and text) one comes first, by a hash of its other columns; null texts stay null; a text that is a
+copy as a whole becomes empty; an empty table gives an empty result; further columns are kept, but for those named like the result's own.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, held, lean, ranked, table
+from roadloom.llm.common import Scratch, free, held, join_hot, lean, ranked, table
 
 LEAST_WORDS = 50
 #: Bytes of text that are looked at together in a Python worker.
@@ -114,7 +118,8 @@ def _anchors(least: int):
             prints, place, whole = _anchored(words, doc, least)
             at = np.unique(place[whole])
             own = doc[at]
-            yield _listed(rows, ["doc_id", "rk", "tk"], own, h=prints[at].view(np.int64), p=(at - first[own]).astype(np.int32))
+            out = _listed(rows, ["doc_id", "rk", "tk"], own, h=prints[at].view(np.int64), p=(at - first[own]).astype(np.int32))
+            yield out.append_column("n", pa.array(np.bincount(doc, minlength=rows.num_rows).astype(np.int32)))
 
     return run
 
@@ -128,7 +133,7 @@ def _windows(least: int):
             twice[lists.flatten().to_numpy() + np.repeat(first, lists.value_lengths().to_numpy())] = True
             at = np.flatnonzero(whole & twice[place])
             own = doc[at]
-            yield _listed(rows, ["d", "rk", "tk", "nth"], own, h=run_prints(words, least)[at].view(np.int64), p=(at - first[own]).astype(np.int32))
+            yield _listed(rows, ["d", "rk", "tk"], own, h=run_prints(words, least)[at].view(np.int64), p=(at - first[own]).astype(np.int32))
 
     return run
 
@@ -153,7 +158,7 @@ def _later(least: int):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(gone) > 0).astype(np.int8)))))
                 out.append(edges.astype(np.int32) if len(edges) else None)
             frame["cuts"] = pd.Series(out, frame.index, object)
-            yield frame.loc[frame["cuts"].notna(), ["rk", "tk", "nth", "cuts"]]
+            yield frame.loc[frame["cuts"].notna(), ["rk", "tk", "cuts"]]
 
     return run
 
@@ -204,53 +209,71 @@ def _by_document(at: DataFrame, out: str) -> DataFrame:
     return at.groupBy(F.shiftright("at", 32).alias("d")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias(out))
 
 
-def _keyed(docs: DataFrame, several: bool) -> DataFrame:
-    """docs with _rk and _tk, and where rows are there several times alike, _nth to tell them apart."""
-    out = docs.withColumns({"_rk": F.xxhash64("doc_id", "text"), "_tk": F.xxhash64(F.lit(7), "text")})
-    return out.withColumn("_nth", F.row_number().over(Window.partitionBy("_rk", "_tk").orderBy(F.lit(0)))) if several else out
-
-
-def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, bool]:
-    """Of documents with later copies (rk, tk, nth, cuts), cuts being the first word and the one behind the last, in turns; and whether any nth is above 1."""
+def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame | None]:
+    """(rk, tk, cuts) of documents with later copies, cuts being the first word and the one behind the last, in turns; and (rk, tk, n), n words, of those that
+    are there several times, None if there are none.  rk and tk are hashes of doc_id and text."""
     scratch = Scratch(docs.sparkSession, "passages")
-    texts = docs.where("text is not null").select("doc_id", "text")
-    found = scratch.put(_keyed(texts, False).toDF("doc_id", "text", "rk", "tk").mapInArrow(lean(_anchors(least_words)), "doc_id bigint, rk bigint, tk bigint, h array<bigint>, p array<int>").where("size(h) > 0"))
-    nth = F.row_number().over(Window.partitionBy("rk", "tk").orderBy("d"))
-    numbered = scratch.put(ranked(found, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d").withColumn("nth", nth))
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64(F.lit(7), "text").alias("tk"))
+    found = scratch.put(texts.mapInArrow(lean(_anchors(least_words)), "doc_id bigint, rk bigint, tk bigint, h array<bigint>, p array<int>, n int").where("size(h) > 0"))
+    again = found.groupBy("rk", "tk").agg(F.max("n").alias("n"), F.count("*").alias("c")).where("c > 1").select("rk", "tk", "n")
+    again = held(again) if again.take(1) else None
+    single = found if again is None else found.dropDuplicates(["rk", "tk"])
+    numbered = scratch.put(ranked(single, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d"))
     scratch.drop(found)
-    several = bool(numbered.where("nth > 1").take(1))
     alone = _places(numbered).groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("last")).where("at = last")
-    twice = numbered.join(_by_document(alone, "alone"), "d", "left").select("d", "rk", "tk", "nth", F.when(F.col("alone").isNull(), F.col("p")).otherwise(F.array_except("p", "alone")).alias("twice"))
+    twice = numbered.join(_by_document(alone, "alone"), "d", "left").select("d", "rk", "tk", F.when(F.col("alone").isNull(), F.col("p")).otherwise(F.array_except("p", "alone")).alias("twice"))
     twice = scratch.put(twice.where("size(twice) > 0"))
     scratch.drop(numbered)
-    on = ["_rk", "_tk", *(["_nth"] if several else [])]
-    keyed = _keyed(texts, several).join(twice.select("d", F.col("rk").alias("_rk"), F.col("tk").alias("_tk"), F.col("nth").alias("_nth" if several else "nth"), "twice").hint("merge"), on)
-    keyed = keyed.select("d", F.col("_rk").alias("rk"), F.col("_tk").alias("tk"), F.col("_nth" if several else "nth").alias("nth"), "text", "twice")
-    windows = scratch.put(keyed.mapInArrow(lean(_windows(least_words)), "d bigint, rk bigint, tk bigint, nth int, h array<bigint>, p array<int>").where("size(h) > 0"))
+    single = texts if again is None else texts.dropDuplicates(["rk", "tk"])
+    windows = single.join(twice.hint("merge"), ["rk", "tk"]).select("d", "rk", "tk", "text", "twice")
+    windows = scratch.put(windows.mapInArrow(lean(_windows(least_words)), "d bigint, rk bigint, tk bigint, h array<bigint>, p array<int>").where("size(h) > 0"))
     scratch.drop(twice)
     first = _by_document(_places(windows).groupBy("h").agg(F.min("at").alias("at")), "own")
-    judged = windows.join(first, "d", "left").select("rk", "tk", "nth", "h", "p", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
-    cuts = held(judged.mapInPandas(lean(_later(least_words)), "rk bigint, tk bigint, nth int, cuts array<int>"))
+    judged = windows.join(first, "d", "left").select("rk", "tk", "h", "p", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    cuts = held(judged.mapInPandas(lean(_later(least_words)), "rk bigint, tk bigint, cuts array<int>"))
     scratch.drop(windows)
-    return cuts, several
+    return cuts, again
+
+
+def _later_rows(own: DataFrame, again: DataFrame, rk: str, tk: str, whole: str) -> DataFrame:
+    """own with `whole`: how many words go from a row that is there earlier with equal doc_id and text, else null."""
+    keys = again.toDF(rk, tk, whole)
+    tag, order, first = free(own, "_tag", "_order", "_first")
+    plain = [c for c, kind in own.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = held(join_hot(own, keys, [rk, tk]).withColumns({tag: F.monotonically_increasing_id(), order: F.xxhash64(*plain)}))
+    least = rows.groupBy(rk, tk).agg(F.min(F.struct(order, tag)).alias(first))
+    rows = join_hot(rows, least, [rk, tk]).withColumn(whole, F.when(F.struct(order, tag) != F.col(first), F.col(whole)))
+    others = own.join(keys.select(rk, tk), [rk, tk], "left_anti").withColumn(whole, F.lit(None).cast("int"))
+    return others.unionByName(rows.select(*others.columns))
+
+
+def _cut_texts(docs: DataFrame, least_words: int, lines: str, words: str) -> DataFrame:
+    """docs with their texts cut, and how many lines (as a whole) and words went."""
+    cuts, again = later_copies(docs, least_words)
+    rk, tk, edges, whole, new = free(docs, "_rk", "_tk", "_edges", "_whole", "_new")
+    own = docs.withColumns({rk: F.xxhash64("doc_id", "text"), tk: F.xxhash64(F.lit(7), "text")})
+    if again is not None:
+        own = _later_rows(own, again, rk, tk, whole)
+    joined = own.join(cuts.toDF(rk, tk, edges).hint("merge"), [rk, tk], "left")
+    if again is not None:
+        joined = joined.withColumn(edges, F.when(F.col(whole).isNotNull(), F.array(F.lit(0), F.col(whole))).otherwise(F.col(edges)))
+    joined = joined.withColumn(new, _cut_udf()(F.when(F.col(edges).isNotNull(), F.col("text")), F.col(edges)))
+    text = F.when(F.col(edges).isNull(), F.col("text")).otherwise(F.col(f"{new}.text"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col(f"{new}.lines").alias(lines), F.col(f"{new}.words").alias(words))
 
 
 def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with their texts cut, and removed_lines (those that went as a whole) and removed_words."""
-    cuts, several = later_copies(docs, least_words)
-    on = ["_rk", "_tk", *(["_nth"] if several else [])]
-    joined = _keyed(docs, several).join(cuts.toDF("_rk", "_tk", "_nth", "_cuts").select(*on, "_cuts").hint("merge"), on, "left")
-    joined = joined.withColumn("_new", _cut_udf()(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.col("_new.text"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("_new.lines").alias("removed_lines"), F.col("_new.words").alias("removed_words"))
+    return _cut_texts(docs.drop("removed_lines", "removed_words"), least_words, "removed_lines", "removed_words")
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs (with their columns alone) with cut texts; documents that lost words and have none left are dropped, n_chars follows the text."""
-    out = deduped(docs, least_words)
-    out = out.where((F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines, words = free(docs, "_lines", "_words")
+    out = _cut_texts(docs, least_words, lines, words)
+    out = out.where((F.col(words) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        shorter = F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        shorter = F.when(F.col(words) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", shorter)
     return out.select(*docs.columns)
 

@@ -1,12 +1,11 @@
 """Operator 2: quality rules, of a document alone and of its lines across documents.
 
 Rules of the document count words, symbols, repeated lines and words in repeated eight-word windows, each within the row.  Across documents, normalised
-lines are hashed, the distinct texts that hold a line are counted for each host (the document's source), lines above the host's limit are taken out,
-and a document that keeps too little is rejected.  Copies of one text count once, so that a text isn't rejected for having copies: that is the matter
-of other operators.  What is shuffled is hashes of lines, never texts.  DataFrame functions only.
+lines are hashed, the distinct documents that hold a line are counted for each host (the document's source), lines above the host's limit are taken out,
+and a document that keeps too little is rejected.  `judged` shuffles hashes of lines, never texts.  DataFrame functions only.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; a document of frequent lines alone is
-depleted; repeated rows get the same verdict; an empty table gives an empty result; further columns are ignored.
+depleted; repeated rows (equal doc_id and text) are one document and get the same verdict; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACES, held, join_hot, let, table, words
+from roadloom.llm.common import SPACES, free, held, join_hot, let, table, words
 
 # Fixed values of the base rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
 
-#: A line is boilerplate of a host if it stands in more than this share of the host's distinct texts, and in more than LEAST_TEXTS of them.
-LINE_SHARE, LEAST_TEXTS = 0.05, 10
+#: A line is boilerplate of a host if it stands in more than this share of the host's documents, and in more than LEAST_DOCUMENTS of them.
+LINE_SHARE, LEAST_DOCUMENTS = 0.05, 10
 #: A document is depleted if fewer of its words than this share stay.
 LEAST_KEPT = 0.3
 
@@ -54,12 +53,12 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """row, doc_id, host, text hash, the base counts, and lines: struct<hash, words> of each line with a word."""
+def base_rules(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row, doc_id, host, t (a hash of the document), the base counts, and lines: struct<hash, words> of each line with a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")).alias("host"), text.alias("text"))
+    d = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")).alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, SPACES, "      ")) != "")
-    d = d.select("row", "doc_id", "host", F.xxhash64("text").alias("t"), "text", words(F.col("text")).alias("ws"), lines.alias("ls"))
+    d = d.select("row", "doc_id", "host", F.xxhash64("doc_id", "text").alias("t"), "text", words(F.col("text")).alias("ws"), lines.alias("ls"))
     return d.select(
         "row", "doc_id", "host", "t", F.size("ws").cast("long").alias("n_words"),
         F.length(_bare(F.col("text"))).cast("long").alias("word_chars"),
@@ -70,16 +69,16 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(base: DataFrame, share: float = LINE_SHARE, least: int = LEAST_TEXTS) -> DataFrame:
-    """(host, line) of lines that more than `share` of the host's distinct texts hold, and more than `least` of them."""
-    texts = base.groupBy("host").agg(F.count_distinct("t").alias("texts"))
+def frequent_lines(base: DataFrame, share: float = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(host, line) of lines that more than `share` of the host's documents hold, and more than `least` of them."""
+    documents = base.groupBy("host").agg(F.count_distinct("t").alias("documents"))
     held_by = base.select("host", "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    # the pair and text first, then the pair: neither step gathers the rows of a hot line or host in a task
+    # the pair and document first, then the pair: neither step gathers the rows of a hot line or host in a task
     counts = held_by.groupBy("host", "line", "t").agg(F.lit(1).alias("_")).groupBy("host", "line").count().where(F.col("count") > least)
-    return join_hot(counts, texts, ["host"]).where(F.col("count") > F.col("texts") * F.lit(share)).select("host", "line")
+    return join_hot(counts, documents, ["host"]).where(F.col("count") > F.col("documents") * F.lit(share)).select("host", "line")
 
 
-def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_TEXTS, least_kept: float = LEAST_KEPT) -> DataFrame:
+def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_DOCUMENTS, least_kept: float = LEAST_KEPT) -> DataFrame:
     """The base counts, words_removed (in frequent lines), base_failed and kept, for every row of docs."""
     base = held(base_rules(docs))
     frequent = held(frequent_lines(base, share, least))
@@ -92,5 +91,17 @@ def judged(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_TEXTS,
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def cleaned(docs: DataFrame, share: float = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """docs without the frequent lines in their texts; null texts stay null, rows and further columns are kept."""
+    row, gone = free(docs, "_row", "_gone")
+    own = held(docs.withColumn(row, F.monotonically_increasing_id()))
+    base = held(base_rules(own, F.col(row)).select("row", "host", "t", "lines"))
+    lines = base.select("row", "host", F.explode("lines.line").alias("line"))
+    out = join_hot(lines, held(frequent_lines(base, share, least)), ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("gone")).toDF(row, gone)
+    stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x))) | (F.trim(F.translate(x, SPACES, "      ")) == ""))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    return own.join(out, row, "left").select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+
+
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")

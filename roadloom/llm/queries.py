@@ -6,7 +6,7 @@ from roadloom.llm.jaccard_join import op7_jaccard_join
 from roadloom.llm.line_dedup import op3_line_dedup
 from roadloom.llm.mixing import op4_mixing
 from roadloom.llm.packing import op5_packing
-from roadloom.llm.quality_rules import LEAST_KEPT, LEAST_TEXTS, LINE_SHARE, op2_quality_rules
+from roadloom.llm.quality_rules import LEAST_KEPT, LEAST_DOCUMENTS, LINE_SHARE, op2_quality_rules
 from roadloom.llm.secret_scan import op1_secret_scan
 from roadloom.llm.sharding import op10_sharding
 from roadloom.llm.topk_search import op9_topk_search
@@ -26,9 +26,9 @@ _QUALITY = rf"""with d as (select row_number() over () as r, doc_id, source, coa
 win as (select r, i, array_to_string(ws[i:i + 7], ' ') as w from (select r, ws, unnest(range(1, len(ws) - 6)) as i from d where len(ws) >= 8)),
 dup as (select r, i from (select r, i, count(*) over (partition by r, w) as c from win) where c > 1),
 rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from dup) group by r),
-lines as (select r, source, text, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g')) as l from (select r, source, text, unnest(ls) as l from d)),
-freq as (select source, l from (select source, l, count(distinct text) as c from lines group by source, l) f
-  where c > {LEAST_TEXTS} and c > {LINE_SHARE} * (select count(distinct text) from d where d.source is not distinct from f.source)),
+lines as (select r, source, doc_id, text, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g')) as l from (select r, source, doc_id, text, unnest(ls) as l from d)),
+freq as (select source, l from (select source, l, count(distinct (doc_id, text)) as c from lines group by source, l) f
+  where c > {LEAST_DOCUMENTS} and c > {LINE_SHARE} * (select count(distinct (doc_id, text)) from d where d.source is not distinct from f.source)),
 gone as (select r, sum(length(l) - length(replace(l, ' ', '')) + 1) as n from lines where exists (select 1 from freq f where f.source is not distinct from lines.source and f.l = lines.l) group by r),
 m as (select d.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint as word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
@@ -38,9 +38,9 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
 
 _RULES = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for h, p, _ in _RULES]
-_TRACKING = r"(?i)(^|&)(utm_[a-z]*|ref|fbclid|gclid|sid|session)=[^&]*"
+_TRACKING = r"(?i)(^|&)(utm_[a-z]*|fbclid|gclid)=[^&]*"
 
-#: The pages of the test tables have neither canonical links nor redirects, so their classes are those of equal addresses.
+#: The pages of the test tables have neither canonical links nor refresh redirects, so their classes are those of equal settled addresses.
 _URLS = rf"""with u as (select page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 q as (select *, regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '{_TRACKING}', '', 'g'), '^&', '') as query from u),
 a as (select *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.(html?|php)$', '/'), '/+$', '') || case when query <> '' then '?' || query else '' end as address,

@@ -140,13 +140,13 @@ def running(df: DataFrame, keys: Sequence[str], order: str, tie: str, value: Col
 
     Rows are dealt by keys and the first bits of the hash, so no key is ever in one task; sums by bucket give each bucket its start.  Keys mustn't be null.
     """
-    b = F.shiftright(F.col(order), 63 - bits)
-    df = df.withColumn("_b", b).withColumn("_v", value)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*keys, "_b").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(start, [*keys, "_b"])
-    return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum("_v").over(inner), F.lit(0))).drop("_b", "_v", "_start")
+    bucket, v, start, total = free(df, "_b", "_v", "_start", "_t")
+    df = df.withColumn(bucket, F.shiftright(F.col(order), 63 - bits)).withColumn(v, value)
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys, bucket).agg(F.sum(v).alias(total)).select(*keys, bucket, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    inner = Window.partitionBy(*keys, bucket).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(starts, [*keys, bucket])
+    return joined.withColumn(out, F.col(start) + F.coalesce(F.sum(v).over(inner), F.lit(0))).drop(bucket, v, start)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

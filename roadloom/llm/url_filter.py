@@ -1,8 +1,9 @@
 """Operator 6: URL filters with redirect equivalence.
 
 Rules name a host, with its subdomains, and the start of a path; the longest that fits decides.  Pages whose addresses are equivalent form classes:
-connected components over redirects (http-equiv refresh), canonical links, and the redirects that sites make by themselves (scheme, www., fragment,
-tracking parameters, trailing slash, index page).  A page without a rule is blocked if a page or an address of its class is blocked by a rule; a page
+connected components of a graph whose nodes are addresses and whose edges are redirects (http-equiv refresh, or a crawl's log), canonical links, and the
+redirects that sites make by themselves: from an address to the one without www., port, trailing slash, index page and parameters of campaigns.  Scheme
+and fragment aren't part of an address.  A page without a rule is blocked if a page or an address of its class is blocked by a rule; a page
 that a rule allows stays allowed whatever its class.
 
 Defined cases: a null url or one without :// has an empty host and path, no rule and no class, and is allowed; a null html has no links; repeated rows
@@ -22,8 +23,8 @@ from roadloom.llm.graph import components
 # Fixed values: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parameters that name where a visitor comes from.
-TRACKING = r"(?i)(^|&)(utm_[a-z]*|ref|fbclid|gclid|sid|session)=[^&]*"
+#: Parameters that name the campaign that a visitor comes from.
+TRACKING = r"(?i)(^|&)(utm_[a-z]*|fbclid|gclid)=[^&]*"
 
 
 def host_of(url: Column) -> Column:
@@ -44,11 +45,20 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def address(url: Column) -> Column:
-    """The address that a site serves for a url: host, path and parameters without what redirects take away; null without a host."""
+    """What a url asks for, as it stands: host, path and parameters; null without a host."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
+
+
+def settled(url: Column) -> Column:
+    """The address that a site redirects a url to by itself."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), "^www\\.", ""), ":(80|443)$", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), "/index\\.(html?|php)$", "/"), "/+$", "")
     query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), TRACKING, ""), "^&", "")
-    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    return F.when(host_of(url) != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def _node(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def resolved(link: Column, base: Column) -> Column:
@@ -80,14 +90,19 @@ def links_of(html: Column) -> Column:
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, blocked_alias.  redirects: more edges (source, target) between urls, of a crawl's log."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"), F.xxhash64(address(F.col("url"))).alias("node"), address(F.col("url")).isNotNull().alias("known"), "url", links_of(F.col("html")).alias("links"))
+    host, path, url = host_of(F.col("url")), path_of(F.col("url")), F.col("url")
+    own = pages.select("page_id", host.alias("host"), path.alias("path"), _node(address(url)).alias("node"), address(url).isNotNull().alias("known"), "url", links_of(F.col("html")).alias("links"))
     own = held(own.withColumn("own", rule_for(F.col("host"), F.col("path"), rules)))
-    targets = own.where("known").select("node", F.explode("links").alias("link"), "url").select("node", resolved(F.col("link"), F.col("url")).alias("to"))
+    targets = own.where("known").select("node", F.explode("links").alias("link"), "url").select("node", resolved(F.col("link"), url).alias("to"))
+    if redirects is not None:
+        targets = targets.union(redirects.select(_node(address(F.col("source"))), F.col("target")))
+    targets = held(targets.where(address(F.col("to")).isNotNull()).withColumn("other", _node(address(F.col("to")))).distinct())
+    # edges: links, and from every address to the one that its site settles on
+    by_site = own.where("known").select("node", "url").union(targets.select("other", "to")).select(F.col("node").alias("a"), _node(settled(url)).alias("b"))
+    edges = targets.select(F.col("node").alias("a"), F.col("other").alias("b")).union(by_site)
     if redirects is not None:
-        targets = targets.union(redirects.select(F.xxhash64(address(F.col("source"))), F.col("target")))
-    targets = held(targets.where(address(F.col("to")).isNotNull()).withColumn("other", F.xxhash64(address(F.col("to")))).distinct())
-    roots = held(components(targets.select(F.col("node").alias("a"), F.col("other").alias("b"))))
+        edges = edges.union(redirects.where(address(F.col("source")).isNotNull()).select(_node(address(F.col("source"))), _node(settled(F.col("source")))))
+    roots = held(components(edges))
     by_target = rule_for(host_of(F.col("to")), path_of(F.col("to")), rules)["verdict"] == "block"
     blocked = own.where("known and own.verdict = 'block'").select("node").union(targets.where(by_target).select(F.col("other").alias("node"))).distinct()
     blocked = blocked.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct().withColumn("blocked_alias", F.lit(True))

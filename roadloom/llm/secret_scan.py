@@ -29,7 +29,7 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
 #: Bits a character, from which a window is suspect: at most 4 for hexadecimal digits, log2(20) = 4.32 for others; fewer letters give fewer bits.
 HEX_BITS, MIXED_BITS = 3.2, 4.0
-ONE_CASE_BITS, LETTER_BITS = 3.8, 3.9
+ONE_CASE_BITS, LETTER_BITS = 3.7, 3.9
 SCALE = 1_000_000
 #: Harmless strings: UUIDs, alphabets and digits in order, placeholders, each with the letters and digits that it is part of; runs of one character.
 _WORDS = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|abcdefghij|0123456789|example|placeholder|changeme|dummy"

@@ -57,8 +57,10 @@ def test_quality_rejects_documents_of_frequent_lines(docs):
     texts = [menu + f"\nlast{i} bit{i}" for i in range(30)] + [menu + "\n" + words(200, 1000 * i) for i in range(5)]
     out = quality_rules.judged(docs(*texts, sources=["h"] * 35)).orderBy("doc_id").collect()
     assert [r["kept"] for r in out] == [False] * 30 + [True] * 5
-    copies = quality_rules.judged(docs(*[words(50)] * 40, sources=["h"] * 40)).collect()
-    assert all(r["kept"] for r in copies)  # one text with many copies isn't boilerplate
+    twice = quality_rules.judged(docs(*texts * 2, sources=["h"] * 70, ids=[*range(35)] * 2)).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in twice) == Counter({(i, i >= 30): 2 for i in range(35)})  # repeated rows are one document
+    clean = {r["doc_id"]: r["text"] for r in quality_rules.cleaned(docs(*texts, None, sources=["h"] * 36)).collect()}
+    assert clean[0] == "" and clean[30] == words(200, 0) and clean[35] is None
 
 
 def test_line_runs(docs):
@@ -274,3 +276,118 @@ def test_block_spreads_to_aliases(spark):
     ]
     out = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
     assert out == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
+
+
+def test_redirects_decide_over_pages_without_rules(spark):
+    """Chains of redirects, canonical links and sites' own redirects, against plain components."""
+    rng = random.Random(8)
+    canonical, refresh = '<link rel="canonical" href="{}">', "<meta http-equiv=\"refresh\" content=\"0; url={}\">"
+    pages, parent = [], {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    urls = [f"http://h{i}.net/{i}" for i in range(60)] + [f"http://m{i}.com/de/{i}" for i in range(6)] + [f"http://m{i}.com/fr/{i}" for i in range(6)]
+    for i, url in enumerate(urls):
+        to = rng.choice(urls) if rng.random() < 0.6 else None
+        variant = rng.choice(("{}", "{}/", "{}?utm_source=x", "{}#top", "{}/index.html"))
+        pages.append((i, variant.format(url).replace("http://", rng.choice(("http://", "https://www."))), rng.choice((canonical, refresh)).format(to) if to else None))
+        if to:
+            parent[root(url)] = root(to)
+        root(url)
+    blocked = {root(u) for u in urls if "/de/" in u}
+    want = {i: "allow" if "/fr/" in u else "block" if root(u) in blocked else "allow" for i, u in enumerate(urls)}
+    out = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filter.judged(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert {k: v for k, (v, _) in out.items()} == want
+    assert sum(v == "block" and r is None for v, r in out.values()) >= 5  # the method alone decides these
+
+
+def test_mix_counts_repeated_rows(docs):
+    d = docs(*[words(10)] * 100, *[words(10, 50 * i) for i in range(20)], sources=["a"] * 100 + ["b"] * 20, ids=[7] * 100 + [*range(20)])
+    out = mixing.mix(d, (2, 3)).collect()
+    targets = {r["source_size"]: r["target"] for r in out}
+    assert targets == {1000: 600.0, 200: 600.0}
+    assert sum(r["taken"] for r in out if r["source_size"] == 1000) == 600
+    kept = mixing.mixed(d, (2, 3)).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in kept} == {"a": 60, "b": 60}
+
+
+def test_repeated_query_rows_are_queries_of_their_own(spark):
+    rows = [(i, [i, 1], i) for i in range(60)] + [(20, [20, 1], 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>, row bigint")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk_search.search(df, df.where("vec_id = 20"), 10).collect())
+    best = sorted([(-(20 * i + 1), i) for i in range(60)])[:10]
+    assert got == sorted(2 * [(k + 1, i, -s) for k, (s, i) in enumerate(best)])
+
+
+def test_base_spans_equal_plain_ones(docs):
+    import hashlib
+    import re
+
+    rng = random.Random(12)
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    parts = ["password", "Token", "api_key", "apikey", "SECRET", ":", "=", " ", '"', "'", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "ü", "\n", "x.y/z=", "中😀", "AKIAAKIA", "a" * 7, "hunter22"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    out = {r["doc_id"]: r["base"] for r in secret_scan.scan(docs(*texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 16]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 32]
+        assert [(s["start"], s["ord"], s["end"], s["kind"]) for s in out[i]] == sorted(spans)
+
+
+def test_planted_secrets_are_recalled(docs):
+    rng = random.Random(13)
+    kinds = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"]
+    plain = [f"{rng.choice(['the', 'key', 'over'])} {words(6, 10 * i)} {rng.choice(['https://a.org/some/long-path/with-words', 'snake_case_name_of_a_function', 'x' * 40])}" for i in range(200)]
+    texts = [p + " " + "".join(rng.choice(kinds[i // 2 % 4]) for _ in range(40 * (i % 2))) + " end" for i, p in enumerate(plain)]
+    out = {r["doc_id"]: len(r["spans"]) > 0 for r in secret_scan.scan(docs(*texts)).collect()}
+    assert sum(out[i] for i in range(1, 200, 2)) >= 95 and not any(out[i] for i in range(0, 200, 2))
+
+
+def test_ordinal_gradient_and_cuts():
+    """The fit's minimum is one of the loss as it is written down, and its cuts are in order."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(120)]
+    grades = np.array([min(3, max(0, int(len(r) // 2 + rng.integers(-1, 2)))) for r in rows])
+    w, cuts = toxicity.ordinal(rows, grades, 6, 4, steps=4000)
+    weight = np.where(grades > 0, 0.5 / (grades > 0).sum(), 0.5 / (grades == 0).sum())
+
+    def loss(w, cuts):
+        up = np.array([[1.0, *(1 / (1 + math.exp(c - w[r].sum())) for c in cuts), 0.0] for r in rows])
+        i = np.arange(len(rows))
+        return float((-np.log(up[i, grades] - up[i, grades + 1]) * weight).sum() + 0.001 * (w**2).sum())
+
+    assert np.all(np.diff(cuts) > 0)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-4
+        assert abs(loss(w + step, cuts) - loss(w - step, cuts)) / 2e-4 < 2e-3
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-4
+        assert abs(loss(w, cuts + step) - loss(w, cuts - step)) / 2e-4 < 2e-3
+
+
+def test_large_buckets_go_on_until_all_is_compared(docs, monkeypatch):
+    """With few leaders a round, the same components as of all pairs."""
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 3)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    test_jaccard_equals_all_pairs(docs, 4, Fraction(85, 100))
+
+
+def test_names_that_clash(spark, docs):
+    d = docs(words(60), words(60), words(60, 500), None)
+    for c in ("removed_lines", "_rk", "_key", "_h", "_s", "_times", "_row", "_v"):
+        d = d.withColumn(c, d["node"])
+    kept = [line_dedup.without_repeats(d), mixing.mixed(d), jaccard_join.one_of_each(d), quality_rules.cleaned(d)]
+    assert all(x.columns == d.columns and {r["_h"] for r in x.collect()} <= {"x"} and x.where("_rk = 'x' and _key = 'x' and removed_lines = 'x'").count() == x.count() for x in kept)
+    out = line_dedup.deduped(d)
+    assert out.columns.count("removed_lines") == 1 and sum(r["removed_words"] for r in out.collect()) == 60
+
+
+def test_copies_with_other_columns(spark, docs):
+    d = docs(words(60), words(60), words(60), words(60), ids=[1, 1, 1, 2]).toDF("doc_id", "text", "lang", "source", "n_chars", "node", "row")
+    d = d.withColumn("row", d["doc_id"] * 10)
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.deduped(d).collect()) == [(1, ""), (1, ""), (1, words(60)), (2, "")]

@@ -24,13 +24,13 @@ def core_points(points: DataFrame, eps: float = 1.0, least: int = 10) -> DataFra
     return neighbours(points, eps).groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("id"))
 
 
-def dbscan(points: DataFrame, eps: float = 1.0, least: int = 10, rounds: int = 200) -> DataFrame:
+def dbscan(points: DataFrame, eps: float = 1.0, least: int = 10) -> DataFrame:
     """(id, cluster) of the core points, the cluster being its smallest id; other points are noise.  Labels spread by joins, doubling their way each round."""
     near = written(neighbours(points, eps))
     core = near.groupBy("a").count().where(F.col("count") >= least).select("a")
     links = written(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
     labels = written(core.select(F.col("a").alias("id"), F.col("a").alias("cluster")))
-    for _ in range(rounds):
+    while True:
         least_near = links.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("c"))
         # a label's own label: paths are cut in half
         jump = least_near.join(labels.select(F.col("id").alias("c"), F.col("cluster").alias("cc")), "c").select(F.col("a").alias("id"), F.least("c", "cc").alias("cluster"))
@@ -38,7 +38,6 @@ def dbscan(points: DataFrame, eps: float = 1.0, least: int = 10, rounds: int = 2
         if not jump.join(labels.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").take(1):
             return jump
         labels = jump
-    return labels
 
 
 def _cross(o, a, b) -> float:

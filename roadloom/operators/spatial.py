@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,30 +21,29 @@ def _covered(low: Column, high: Column, size: float) -> Column:
     return F.sequence(_cell(low, size), _cell(high, size))
 
 
-def _margin(points_lat_most: float, distance: float) -> float:
-    """Degrees that surely cover the half box at any latitude up to this one."""
-    import math
-
-    return 1.01 * math.degrees(distance / math.sqrt(2) / 6335000.0) / max(1e-6, math.cos(math.radians(min(89.0, points_lat_most + 1))))
+def _margins(lat: Column, distance: float) -> tuple[Column, Column]:
+    """Degrees of longitude and latitude that surely cover the half boxes of points within reach of this latitude."""
+    dy = 1.01 * math.degrees(distance / math.sqrt(2) / 6335000.0)
+    return F.lit(dy) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.99), F.abs(lat) + F.lit(2 * dy))))), F.lit(dy)
 
 
-def edges_near(points: DataFrame, fat_edges: DataFrame, distance: float, size: float = CELL, most_lat: float = 80.0) -> DataFrame:
+def edges_near(points: DataFrame, fat_edges: DataFrame, distance: float, size: float = CELL) -> DataFrame:
     """Every point (lon, lat, ...) with each edge whose envelope meets the point's box.  Only edges are dealt to several cells, so no pair comes twice."""
-    pad = _margin(most_lat, distance)
     x1, x2 = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
     y1, y2 = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    dealt = fat_edges.withColumn("_cx", F.explode(_covered(x1 - pad, x2 + pad, size))).withColumn("_cy", F.explode(_covered(y1 - pad, y2 + pad, size)))
+    dx, dy = _margins(F.greatest(F.abs(y1), F.abs(y2)), distance)
+    dealt = fat_edges.withColumn("_cx", F.explode(_covered(x1 - dx, x2 + dx, size))).withColumn("_cy", F.explode(_covered(y1 - dy, y2 + dy, size)))
     own = points.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size))
     hx, hy = geo.half_box("lat", distance)
     meets = (x1 <= F.col("lon") + hx) & (x2 >= F.col("lon") - hx) & (y1 <= F.col("lat") + hy) & (y2 >= F.col("lat") - hy)
     return own.join(dealt, ["_cx", "_cy"]).where(meets).drop("_cx", "_cy")
 
 
-def nodes_near(points: DataFrame, nodes: DataFrame, distance: float, size: float = CELL, most_lat: float = 80.0) -> DataFrame:
+def nodes_near(points: DataFrame, nodes: DataFrame, distance: float, size: float = CELL) -> DataFrame:
     """Every point with each node (node_id, node_lon, node_lat) in its box."""
-    pad = _margin(most_lat, distance)
+    dx, dy = _margins(F.col("node_lat"), distance)
     near = nodes.select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"))
-    dealt = near.withColumn("_cx", F.explode(_covered(F.col("node_lon") - pad, F.col("node_lon") + pad, size))).withColumn("_cy", F.explode(_covered(F.col("node_lat") - pad, F.col("node_lat") + pad, size)))
+    dealt = near.withColumn("_cx", F.explode(_covered(F.col("node_lon") - dx, F.col("node_lon") + dx, size))).withColumn("_cy", F.explode(_covered(F.col("node_lat") - dy, F.col("node_lat") + dy, size)))
     own = points.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size))
     hx, hy = geo.half_box("lat", distance)
     inside = (F.abs(F.col("node_lon") - F.col("lon")) <= hx) & (F.abs(F.col("node_lat") - F.col("lat")) <= hy)
@@ -88,10 +89,16 @@ def projected(points: DataFrame, fat_edges: DataFrame, distance: float) -> DataF
     return near.withColumn("metres", geo.haversine("lon", "lat", "px", "py"))
 
 
+def nearest_of(near: DataFrame, *keys: str) -> DataFrame:
+    """Of projections, each key's nearest as a struct b; those within a micrometre of it tie, and the smaller edge wins."""
+    near = near.withColumn("_least", F.min("metres").over(Window.partitionBy(*keys))).where(F.col("metres") <= F.col("_least") + F.lit(1e-6))
+    return near.groupBy(*keys).agg(F.min(F.struct("source", "target", "metres", "px", "py", "fraction")).alias("b"))
+
+
 def nearest_projected(points: DataFrame, fat_edges: DataFrame, key: str, distance: float) -> DataFrame:
     """The nearest projection of each point within the box, to a micrometre; ties to the smaller edge."""
-    best = F.min(F.struct(F.round("metres", 6).alias("_near"), "source", "target", "metres", "px", "py", "fraction")).alias("b")
-    return projected(points, fat_edges, distance).groupBy(key).agg(best).select(key, F.col("b.source"), F.col("b.target"), F.col("b.px").alias("lon"), F.col("b.py").alias("lat"), F.col("b.metres"), F.col("b.fraction"))
+    best = nearest_of(projected(points, fat_edges, distance), key)
+    return best.select(key, F.col("b.source"), F.col("b.target"), F.col("b.px").alias("lon"), F.col("b.py").alias("lat"), F.col("b.metres"), F.col("b.fraction"))
 
 
 def emission_cost(metres: Column, zeta: float = 100.0, beta: float = 1.0) -> Column:

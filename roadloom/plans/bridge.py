@@ -41,12 +41,11 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
     return Network(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-def traces(spark: SparkSession, sf_dir: str, most: int | None = 12) -> DataFrame:
-    """A trip for each user along a row of nodes, of so many events at most as the SQL has it, or of all (None); it turns back before the row's end."""
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trip for each user along a row of nodes, of all the user's events; it turns back before the row's end."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     rows = F.floor((read(spark, sf_dir, "part").count() - 1) / F.lit(COLUMNS)) + 1
     ev = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("k", k)
-    ev = ev if most is None else ev.where(F.col("k") < most)
     k = F.pmod(F.col("k"), F.lit(2 * TURN))
     step = F.least(k, 2 * TURN - k)
     lat = F.lit(33.90) + F.lit(0.0015) * (F.col("user_id") % rows) + F.lit(0.00003) * (F.floor(F.col("value") * 100) % 7 - 3)
@@ -61,8 +60,8 @@ EDGES_SQL = f"""ways as (
 real_ways as (select * from ways where nxt in (select p_partkey from part)),
 edges as (select k as source, nxt as target, weight, way_id from real_ways union all select nxt, k, weight, way_id from real_ways where p_size % 7 <> 0)"""
 TRACES_SQL = f"""steps as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as k from events),
-traces as (select user_id as trip, k as layer, ts, -118.30::double + 0.002::double * (0.3::double + 0.45::double * k) as lon,
-  33.90::double + 0.0015::double * (user_id % (select (count(*) - 1) // {COLUMNS} + 1 from part)) + 0.00003::double * (floor(value * 100)::bigint % 7 - 3) as lat from steps where k < 12)"""
+traces as (select user_id as trip, k as layer, ts, -118.30::double + 0.002::double * (0.3::double + 0.45::double * least(k % {2 * TURN}, {2 * TURN} - k % {2 * TURN})) as lon,
+  33.90::double + 0.0015::double * (user_id % (select (count(*) - 1) // {COLUMNS} + 1 from part)) + 0.00003::double * (floor(value * 100)::bigint % 7 - 3) as lat from steps)"""
 FAT_SQL = "fat as (select e.*, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2 from edges e join nodes a on a.node_id = e.source join nodes b on b.node_id = e.target)"
 BASE_SQL = f"with {NODES_SQL}, {EDGES_SQL}, {TRACES_SQL}, {FAT_SQL}"
 

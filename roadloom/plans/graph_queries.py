@@ -34,10 +34,10 @@ def edge_fatten(spark: SparkSession, d: str) -> DataFrame:
     return B.network(spark, d).fat_edges().drop("direction")
 
 
-@query(f"{BASE} select source as node_id, target, weight from edges where source % 10 = 0 union all select target, source, weight from edges where target % 10 = 0")
+@query(f"{BASE} select source as node_id, target, weight from edges union all select target, source, weight from edges")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     n = B.network(spark, d)
-    some = n.nodes.where("node_id % 10 = 0").select("node_id")
+    some = n.nodes.select("node_id")
     return n.out_of(some).select("node_id", "target", "weight").union(n.into(some).select("node_id", "source", "weight"))
 
 
@@ -112,15 +112,15 @@ def edges_at_distance(spark: SparkSession, d: str) -> DataFrame:
     return spatial.edges_near(B.traces(spark, d).select("trip", "layer", "lon", "lat"), B.network(spark, d).fat_edges(), 50.0).select("trip", "layer", "source", "target")
 
 
-@query(f"{BASE} select k, node_id from (select t.trip * 100 + t.layer as k, n.node_id, row_number() over (partition by t.trip, t.layer order by sqrt(pow(n.lon - t.lon, 2) + pow(n.lat - t.lat, 2)), n.node_id) as r from traces t, nodes n) where r = 1")
+@query(f"{BASE} select k, node_id from (select t.trip * 100000 + t.layer as k, n.node_id, row_number() over (partition by t.trip, t.layer order by sqrt(pow(n.lon - t.lon, 2) + pow(n.lat - t.lat, 2)), n.node_id) as r from traces t, nodes n) where r = 1")
 def nearest_node(spark: SparkSession, d: str) -> DataFrame:
-    points = B.traces(spark, d).select((F.col("trip") * 100 + F.col("layer")).alias("k"), "lon", "lat")
+    points = B.traces(spark, d).select((F.col("trip") * 100000 + F.col("layer")).alias("k"), "lon", "lat")
     return spatial.nearest_node(points, B.nodes(spark, d), "k").select("k", "node_id")
 
 
-@query(f"{BASE}, s as (select case when node_id % 2 = 0 then 'a' else 'b' end as shard, * from nodes), each as (select t.trip * 100 + t.layer as k, s.shard, s.node_id, sqrt(pow(s.lon - t.lon, 2) + pow(s.lat - t.lat, 2)) as dist from traces t, s) select k, node_id from (select *, row_number() over (partition by k order by dist, node_id) as r from each) where r = 1")
+@query(f"{BASE}, s as (select case when node_id % 2 = 0 then 'a' else 'b' end as shard, * from nodes), each as (select t.trip * 100000 + t.layer as k, s.shard, s.node_id, sqrt(pow(s.lon - t.lon, 2) + pow(s.lat - t.lat, 2)) as dist from traces t, s) select k, node_id from (select *, row_number() over (partition by k order by dist, node_id) as r from each) where r = 1")
 def nearest_across_shards(spark: SparkSession, d: str) -> DataFrame:
-    points, nodes = B.traces(spark, d).select((F.col("trip") * 100 + F.col("layer")).alias("k"), "lon", "lat"), B.nodes(spark, d)
+    points, nodes = B.traces(spark, d).select((F.col("trip") * 100000 + F.col("layer")).alias("k"), "lon", "lat"), B.nodes(spark, d)
     both = spatial.nearest_node(points, nodes.where("node_id % 2 = 0"), "k").union(spatial.nearest_node(points, nodes.where("node_id % 2 = 1"), "k"))
     return both.groupBy("k").agg(F.min(F.struct("distance", "node_id")).alias("b")).select("k", "b.node_id")
 
@@ -140,11 +140,11 @@ _CM = f"floor({B.sql_haversine('lon1', 'lat1', 'lon2', 'lat2')} * 100)::bigint"
 
 
 @query(f"""{BASE.replace('with ', 'with recursive ', 1)}, s as (select source, target, {_CM} as cm from fat),
-r as (select node_id as root, node_id as node, 0::bigint as cm from nodes where node_id % 50 = 1 union select r.root, s.target, r.cm + s.cm from r join s on s.source = r.node where r.cm + s.cm < 60000)
+r as (select node_id as root, node_id as node, 0::bigint as cm from nodes union select r.root, s.target, r.cm + s.cm from r join s on s.source = r.node where r.cm + s.cm < 60000)
 select root, node, min(cm) as cm from r group by root, node""")
 def reach_bounded(spark: SparkSession, d: str) -> DataFrame:
     n = _even(spark, d)
-    roots = n.nodes.where("node_id % 50 = 1").select(F.col("node_id").alias("root"))
+    roots = n.nodes.select(F.col("node_id").alias("root"))
     return reach.reachable(roots, n.nodes, n.successors(), 600.0).select("root", "node", "cm")
 
 
@@ -155,23 +155,21 @@ def reach_paths(spark: SparkSession, d: str) -> DataFrame:
     return reach.paths(pairs, n.nodes, n.successors())
 
 
-@query(f"""{BASE.replace('with ', 'with recursive ', 1)}, pairs as (select node_id as root, node_id + 3 as dest from nodes where node_id % 100 = 1),
-r as (select root, root as node, 0::bigint as cost, 0 as hops from pairs union select r.root, e.target, r.cost + e.weight, r.hops + 1 from r join edges e on e.source = r.node where r.hops < 9 and abs(e.target % 40 - r.root % 40) <= 5)
-select p.root, p.dest, min(r.cost) as cost from pairs p join r on r.root = p.root and r.node = p.dest group by p.root, p.dest""")
+@query()
 def route_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = B.network(spark, d)
-    pairs = n.nodes.where("node_id % 100 = 1").select(F.col("node_id").alias("root"), (F.col("node_id") + 3).alias("dest"))
+    pairs = n.nodes.select(F.col("node_id").alias("root"), (F.col("node_id") + 3).alias("dest"))
     return reach.routes(pairs, n.edges).select("root", "dest", "cost")
 
 
-_LINES = "select user_id as key, list(1 + (event_id * 13) % (select count(*) from part) order by ts, event_id) as ids from steps where k < 6 group by user_id"
+_LINES = "select user_id as key, list(1 + (event_id * 13) % (select count(*) from part) order by ts, event_id) as ids from steps group by user_id"
 
 
-@query(f"{BASE}, l as ({_LINES}), u as (select key, unnest(ids) as node_id, generate_subscripts(ids, 1) as pos from l) select key, pos - 1 as pos, n.lon, n.lat from u join nodes n using (node_id)")
+@query(f"{BASE}, l as ({_LINES}), u as (select key, unnest(ids) as node_id, generate_subscripts(ids, 1) as pos from l) select key, row_number() over (partition by key order by pos) - 1 as pos, n.lon, n.lat from u join nodes n using (node_id)")
 def node_list_resolve(spark: SparkSession, d: str) -> DataFrame:
     n = B.read(spark, d, "part").count()
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    ev = B.read(spark, d, "events").withColumn("k", k).where("k <= 6").groupBy(F.col("user_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("k", (1 + (F.col("event_id") * 13) % n).alias("node_id")))).alias("l"))
+    ev = B.read(spark, d, "events").withColumn("k", k).groupBy(F.col("user_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("k", (1 + (F.col("event_id") * 13) % n).alias("node_id")))).alias("l"))
     lists = ev.select("key", F.transform("l", lambda x: x["node_id"]).alias("ids"))
     return B.network(spark, d).resolve(lists).select("key", F.posexplode("points").alias("pos", "p")).select("key", F.col("pos").cast("long").alias("pos"), "p.lon", "p.lat")
 

@@ -12,8 +12,8 @@ from roadloom.plans.queries import query
 BASE = f"{B.BASE_SQL}, {B.CANDIDATES_SQL}"
 
 
-def _candidates(spark: SparkSession, d: str, most: int | None = 12) -> DataFrame:
-    return spatial.candidates(B.traces(spark, d, most).select("trip", "layer", "lon", "lat"), B.network(spark, d).fat_edges())
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.candidates(B.traces(spark, d).select("trip", "layer", "lon", "lat"), B.network(spark, d).fat_edges())
 
 
 @query(f"{BASE} select trip, layer, node, source, target, way_id, round(px, 6) as lon, round(py, 6) as lat, round(fraction, 6) as fraction, emission from candidates")
@@ -21,7 +21,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("trip", F.col("layer").cast("long").alias("layer"), F.col("node").cast("long").alias("node"), "source", "target", "way_id", F.round("px", 6).alias("lon"), F.round("py", 6).alias("lat"), F.round("fraction", 6).alias("fraction"), "emission")
 
 
-@query(f"{BASE} select trip, layer, source, target, round(metres, 3) as metres from (select *, row_number() over (partition by trip, layer order by round(metres, 6), source, target) as r from candidates) where r = 1")
+@query(f"{BASE} select trip, layer, source, target, round(metres, 3) as metres from (select *, row_number() over (partition by trip, layer order by source, target) as r from (select *, min(metres) over (partition by trip, layer) as nearest from candidates) where metres <= nearest + 1e-6) where r = 1")
 def nearest_projected(spark: SparkSession, d: str) -> DataFrame:
     points = B.traces(spark, d).select(F.struct("trip", "layer").alias("k"), "lon", "lat")
     rows = spatial.nearest_projected(points, B.network(spark, d).fat_edges(), "k", 50.0)
@@ -60,7 +60,7 @@ def layer_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str, solver: str = "fastest") -> matching.Matched:
-    return matching.match(B.traces(spark, d, None), B.network(spark, d), matching.Options(solver=solver))
+    return matching.match(B.traces(spark, d), B.network(spark, d), matching.Options(solver=solver))
 
 
 @query()
@@ -85,11 +85,11 @@ def match_selective(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hop_lengths(spark: SparkSession, d: str) -> DataFrame:
-    hops = matching.hops(_candidates(spark, d, None), B.network(spark, d), matching.Options())
+    hops = matching.hops(_candidates(spark, d), B.network(spark, d), matching.Options())
     return hops.select("trip", "layer", "a_node", "b_node", "method", F.round("route", 3).alias("route"), F.round("straight", 3).alias("straight"), F.round("turns", 6).alias("turns"), "cost")
 
 
-@query(f"{BASE} select trip, layer, source as edge_source, target as edge_target, round(px, 6) as lon, round(py, 6) as lat from (select *, row_number() over (partition by trip, layer order by round(metres, 6), source, target) as r from candidates) where r = 1")
+@query(f"{BASE} select trip, layer, source as edge_source, target as edge_target, round(px, 6) as lon, round(py, 6) as lat from (select *, row_number() over (partition by trip, layer order by source, target) as r from (select *, min(metres) over (partition by trip, layer) as nearest from candidates) where metres <= nearest + 1e-6) where r = 1")
 def snap(spark: SparkSession, d: str) -> DataFrame:
     rows = matching.snap(B.traces(spark, d), B.network(spark, d))
     return rows.select("trip", F.col("layer").cast("long").alias("layer"), "edge_source", "edge_target", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

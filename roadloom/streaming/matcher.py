@@ -19,7 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from roadloom.operators import trellis
 from roadloom.operators.network import Network
 
-OUT = "vehicle_id bigint, ts timestamp, revision timestamp, source bigint, target bigint, lon double, lat double, downgraded boolean"
+#: dropped: whether late, repeated or old observations were left out of the trip.
+OUT = "vehicle_id bigint, ts timestamp, revision timestamp, source bigint, target bigint, lon double, lat double, dropped boolean"
 STATE = "ts array<timestamp>, lon array<double>, lat array<double>"
 R = 6371008.8
 
@@ -44,75 +45,93 @@ def context(history: list[tuple], fresh: list[tuple], window: int, gap_s: float,
     return rows
 
 
+#: Degrees of a cell of the grid in which a task looks up edges.
+CELL = 0.004
+
+
+def _far(ax, ay, bx, by):
+    """Great-circle metres between arrays of places."""
+    p, q = np.radians(ay), np.radians(by)
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(bx - ax) / 2) ** 2
+    return 2 * R * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
 class Roads:
-    """A network around the vehicles, as arrays: what a task needs to match them."""
+    """A network around the vehicles, as arrays with a grid over them: what a task needs to match them.  It's built once a worker."""
+
+    COLUMNS = ("source", "target", "weight", "cm", "lon1", "lat1", "lon2", "lat2")
 
     def __init__(self, edges: pd.DataFrame, search: float, reach: float):
         from roadloom.operators.reach import search as walk
 
-        self.e = edges.sort_values(["source", "target"]).reset_index(drop=True)
+        edges = edges.sort_values(["source", "target"])
+        self.e = {c: edges[c].to_numpy() for c in self.COLUMNS}
         self.search, self.reach, self.walk = search, reach, walk
         self.out: dict[int, list[tuple[int, int, int]]] = {}
-        for s, t, w, cm in self.e[["source", "target", "weight", "cm"]].itertuples(index=False):
-            self.out.setdefault(int(s), []).append((int(t), int(w), int(cm)))
+        for s, t, w, cm in zip(*(self.e[c].tolist() for c in self.COLUMNS[:4]), strict=True):
+            self.out.setdefault(s, []).append((t, w, cm))
         self.near: dict[int, dict[int, int]] = {}
-
-    def candidates(self, lon: float, lat: float) -> pd.DataFrame:
-        e, phi = self.e, np.radians(lat)
+        self.grid: dict[tuple[int, int], list[int]] = {}
+        x, y = np.sort((self.e["lon1"], self.e["lon2"]), 0), np.sort((self.e["lat1"], self.e["lat2"]), 0)
+        low, high = np.floor((x[0] / CELL, y[0] / CELL)).astype(int).T, np.floor((x[1] / CELL, y[1] / CELL)).astype(int).T
+        for i, ((x1, y1), (x2, y2)) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            for cx in range(x1, x2 + 1):
+                for cy in range(y1, y2 + 1):
+                    self.grid.setdefault((cx, cy), []).append(i)
+
+    def candidates(self, lon: float, lat: float) -> dict[str, np.ndarray]:
+        phi = np.radians(lat)
         hx, hy = np.degrees(self.search / np.sqrt(2) / (R * np.cos(phi))), np.degrees(self.search / np.sqrt(2) / R)
-        x1, x2, y1, y2 = e["lon1"].to_numpy(), e["lon2"].to_numpy(), e["lat1"].to_numpy(), e["lat2"].to_numpy()
-        hit = (np.minimum(x1, x2) <= lon + hx) & (np.maximum(x1, x2) >= lon - hx) & (np.minimum(y1, y2) <= lat + hy) & (np.maximum(y1, y2) >= lat - hy)
-        c = e[hit]
+        near = {i for cx in range(int((lon - hx) // CELL), int((lon + hx) // CELL) + 1) for cy in range(int((lat - hy) // CELL), int((lat + hy) // CELL) + 1) for i in self.grid.get((cx, cy), ())}
+        c = {k: v[sorted(near)] for k, v in self.e.items()}
+        hit = (np.minimum(c["lon1"], c["lon2"]) <= lon + hx) & (np.maximum(c["lon1"], c["lon2"]) >= lon - hx) & (np.minimum(c["lat1"], c["lat2"]) <= lat + hy) & (np.maximum(c["lat1"], c["lat2"]) >= lat - hy)
         dx, dy = c["lon2"] - c["lon1"], c["lat2"] - c["lat1"]
-        f = (((lon - c["lon1"]) * dx + (lat - c["lat1"]) * dy) / (dx * dx + dy * dy)).clip(0, 1)
+        hit &= (dx != 0) | (dy != 0)
+        c, dx, dy = {k: v[hit] for k, v in c.items()}, dx[hit], dy[hit]
+        f = np.clip(((lon - c["lon1"]) * dx + (lat - c["lat1"]) * dy) / (dx * dx + dy * dy), 0, 1)
         px, py = c["lon1"] + f * dx, c["lat1"] + f * dy
-        d = np.array([_haversine((lon, lat), p) for p in zip(px, py, strict=True)])
-        return c.assign(fraction=f, px=px, py=py, emission=np.floor(100 / np.maximum(1e-6, np.exp(-np.sqrt(d / 25)))))
+        return c | {"fraction": f, "px": px, "py": py, "emission": np.floor(100 / np.maximum(1e-6, np.exp(-np.sqrt(_far(lon, lat, px, py) / 25))))}
 
-    def length(self, root: int, dest: int) -> float | None:
+    def length(self, root: int, dest: int) -> float:
         if root not in self.near:
             self.near[root] = {node: cm for node, _, _, cm in self.walk(root, self.out, self.reach * 100)}
         cm = self.near[root].get(dest)
-        return None if cm is None else cm / 100
-
-    def boundary(self, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        out = np.full((len(a), len(b)), np.inf)
-        for i, x in enumerate(a.itertuples()):
-            for j, y in enumerate(b.itertuples()):
-                straight = _haversine((x.px, x.py), (y.px, y.py))
-                if x.source == y.source and x.target == y.target and x.fraction <= y.fraction:
-                    route = straight
-                else:
-                    between = self.length(int(x.target), int(y.source))
-                    if between is None:
-                        continue
-                    route = between + _haversine((x.px, x.py), (x.lon2, x.lat2)) + _haversine((y.lon1, y.lat1), (y.px, y.py))
-                direct = 1.0 if route <= 0 else straight / route
-                score = np.sqrt(np.clip(direct, 1e-6, 1) * np.clip(min(1.0, x.weight / y.weight), 1e-6, 1))
-                out[i, j] = np.floor(100 / max(score, 1e-6))
-        return out
+        return np.inf if cm is None else cm / 100
+
+    def boundary(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+        def rows(x: np.ndarray) -> np.ndarray:
+            return x[:, None]
+
+        straight = _far(rows(a["px"]), rows(a["py"]), b["px"], b["py"])
+        same = (rows(a["source"]) == b["source"]) & (rows(a["target"]) == b["target"]) & (rows(a["fraction"]) <= b["fraction"])
+        between = np.array([[self.length(t, s) for s in b["source"].tolist()] for t in a["target"].tolist()])
+        route = between + rows(_far(a["px"], a["py"], a["lon2"], a["lat2"])) + _far(b["lon1"], b["lat1"], b["px"], b["py"])
+        route = np.where(same, straight, route)
+        direct = np.where(route <= 0, 1.0, straight / np.where(route <= 0, 1.0, route))
+        score = np.sqrt(np.clip(direct, 1e-6, 1) * np.clip(np.minimum(1.0, rows(a["weight"]) / b["weight"]), 1e-6, 1))
+        return np.where(np.isfinite(route), np.floor(100 / np.maximum(score, 1e-6)), np.inf)
 
     def match(self, rows: list[tuple]) -> tuple[list[tuple], int]:
         """(ts, source, target, lon, lat) of the observations, and how many of them are settled; unanchored ones are left out, a break starts anew."""
-        layers = [(ts, c) for ts, lon, lat in rows if len(c := self.candidates(lon, lat))]
+        layers = [(ts, c) for ts, lon, lat in rows if len((c := self.candidates(lon, lat))["source"])]
         while layers:
             bounds = [self.boundary(a, b) for (_, a), (_, b) in zip(layers, layers[1:], strict=False)]
             broken = [k for k, w in enumerate(bounds) if not np.isfinite(w).any()]
             if broken:
                 layers = layers[broken[-1] + 1 :]
                 continue
-            found = trellis.solve([len(c) for _, c in layers], [c["emission"].to_numpy() for _, c in layers], bounds)
+            found = trellis.solve([len(c["source"]) for _, c in layers], [c["emission"] for _, c in layers], bounds)
             if found is None:
                 layers = layers[1:]
                 continue
             _, path, settled = found
-            out = [(ts, int(r["source"]), int(r["target"]), float(r["px"]), float(r["py"])) for (ts, c), k in zip(layers, path, strict=True) for r in [c.iloc[k]]]
+            out = [(ts, int(c["source"][k]), int(c["target"][k]), float(c["px"][k]), float(c["py"][k])) for (ts, c), k in zip(layers, path, strict=True)]
             return out, settled or 0
         return [], 0
 
 
-def _frame(vehicle: int, matched: list[tuple], revision, downgraded: bool) -> pd.DataFrame:
-    return pd.DataFrame({"vehicle_id": vehicle, "ts": [m[0] for m in matched], "revision": revision, "source": [m[1] for m in matched], "target": [m[2] for m in matched], "lon": [m[3] for m in matched], "lat": [m[4] for m in matched], "downgraded": downgraded})
+def _frame(vehicle: int, matched: list[tuple], revision, dropped: bool) -> pd.DataFrame:
+    return pd.DataFrame({"vehicle_id": vehicle, "ts": [m[0] for m in matched], "revision": revision, "source": [m[1] for m in matched], "target": [m[2] for m in matched], "lon": [m[3] for m in matched], "lat": [m[4] for m in matched], "dropped": dropped})
 
 
 def processor(edges: pd.DataFrame, window: int = 30, gap_s: float = 120.0, jump_m: float = 2000.0, search: float = 50.0, reach: float = 1000.0, ttl_ms: int = 900_000):
@@ -157,14 +176,16 @@ def area_edges(network: Network) -> pd.DataFrame:
 
 def match_batch(events: DataFrame, network: Network, gap_s: float = 1e12, jump_m: float = 2000.0, search: float = 50.0, reach: float = 1000.0) -> DataFrame:
     """The same over a table: each vehicle's events as one batch without a history."""
-    edges = area_edges(network)
+    edges, built = area_edges(network), []
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        roads = Roads(edges, search, reach)
+        if not built:
+            built.append(Roads(edges, search, reach))
+        roads = built[0]
         seen = context([], [(ts.to_pydatetime(), float(x), float(y)) for ts, x, y in zip(rows["ts"], rows["lon"], rows["lat"], strict=True)], 10**9, gap_s, jump_m)
         matched, _ = roads.match(seen)
         if not matched:
-            return pd.DataFrame(columns=["vehicle_id", "ts", "revision", "source", "target", "lon", "lat", "downgraded"])
+            return pd.DataFrame(columns=["vehicle_id", "ts", "revision", "source", "target", "lon", "lat", "dropped"])
         return _frame(rows["vehicle_id"].iloc[0], matched, seen[-1][0], False)
 
     return events.select("vehicle_id", F.col("ts").cast("timestamp").alias("ts"), "lon", "lat").groupBy("vehicle_id").applyInPandas(run, OUT)

@@ -73,9 +73,8 @@ def geohash_number(text: Column) -> Column:
     return out
 
 
-def quadkey(lon, lat, depth: int) -> Column:
+def quadkey_of(x: Column, y: Column, depth: int) -> Column:
     """Two bits a level, the first level lowest: east is 1, north is 2."""
-    x, y = _bin(lon, -180, 180, depth), _bin(lat, -90, 90, depth)
     out = F.lit(0).cast("long")
     for level in range(depth):
         q = F.shiftright(x, depth - 1 - level).bitwiseAND(1) + 2 * F.shiftright(y, depth - 1 - level).bitwiseAND(1)
@@ -83,6 +82,35 @@ def quadkey(lon, lat, depth: int) -> Column:
     return out
 
 
+def quadkey(lon, lat, depth: int) -> Column:
+    return quadkey_of(_bin(lon, -180, 180, depth), _bin(lat, -90, 90, depth), depth)
+
+
+def quadkey_place(key: Column, depth: int) -> tuple[Column, Column]:
+    """The column and row of a key's cell, from the west and the south."""
+    x = y = F.lit(0).cast("long")
+    for level in range(depth):
+        x = x * 2 + F.shiftright(key, 2 * level).bitwiseAND(1)
+        y = y * 2 + F.shiftright(key, 2 * level + 1).bitwiseAND(1)
+    return x, y
+
+
+def quadkey_bounds(key: Column, depth: int) -> list[Column]:
+    """min_lon, min_lat, max_lon, max_lat of a key's cell."""
+    (x, y), w, h = quadkey_place(key, depth), 360.0 / (1 << depth), 180.0 / (1 << depth)
+    return [x * F.lit(w) - 180, y * F.lit(h) - 90, (x + 1) * F.lit(w) - 180, (y + 1) * F.lit(h) - 90]
+
+
+def quadkey_neighbours(key: Column, depth: int) -> Column:
+    """Keys of the cells around a key's, from north clockwise; none beyond the poles or the date line."""
+    (x, y), n = quadkey_place(key, depth), 1 << depth
+    near = []
+    for dx, dy in ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)):
+        inside = (x + dx).between(0, n - 1) & (y + dy).between(0, n - 1)
+        near.append(F.when(inside, quadkey_of(x + dx, y + dy, depth)))
+    return F.array_compact(F.array(*near))
+
+
 def tile_place(lon, lat, zoom: int) -> list[Column]:
     """x, y, and the offsets within the tile."""
     n = float(1 << zoom)

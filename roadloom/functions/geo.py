@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,33 @@ def wkt_linestring(points: Column) -> Column:
 def from_wkt(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?i)linestring\s*\(([^)]*)\)", 1)
     return F.transform(F.split(body, r"\s*,\s*"), lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("lon"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("lat")))
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres between places on the WGS84 ellipsoid, by Vincenty's inverse formula in Arrow batches; null for places nearly opposite, where it has no limit."""
+    def run(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        a, f = 6378137.0, 1 / 298.257223563
+        b, away = (1 - f) * a, np.radians((x2 - x1).to_numpy(float))
+        u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(y.to_numpy(float)))) for y in (y1, y2))
+        lam, done = away.copy(), np.zeros(len(away), bool)
+        with np.errstate(all="ignore"):
+            for _ in range(200):
+                s = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+                c = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+                sigma = np.arctan2(s, c)
+                alpha = np.where(s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / s)
+                cos2 = 1 - alpha**2
+                mid = np.where(cos2 < 1e-15, 0.0, c - 2 * np.sin(u1) * np.sin(u2) / cos2)
+                k = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+                new = away + (1 - k) * f * alpha * (sigma + k * s * (mid + k * c * (2 * mid**2 - 1)))
+                done = np.abs(new - lam) < 1e-12
+                lam = new
+                if done[~np.isnan(new)].all():
+                    break
+            u = cos2 * (a**2 - b**2) / b**2
+            p = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+            q = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+            d = q * s * (mid + q / 4 * (c * (2 * mid**2 - 1) - q / 6 * mid * (4 * s**2 - 3) * (4 * mid**2 - 3)))
+            return pd.Series(np.where(done, b * p * (sigma - d), np.nan)).replace({np.nan: None}).astype("Float64")
+
+    return F.pandas_udf(run, "double")(c(lon1).cast("double"), c(lat1).cast("double"), c(lon2).cast("double"), c(lat2).cast("double"))

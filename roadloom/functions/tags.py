@@ -132,3 +132,31 @@ def relevant_speed(limits: Column, mode: str | None = None, direction: str | Non
 
 def mode_is(mode: str, kinds: Sequence[str]) -> bool:
     return any(m in kinds for m in mode_chain(mode))
+
+
+def is_directional(direction: Column) -> Column:
+    """Whether a direction is along the way, not a side of it."""
+    return F.coalesce(direction.isin("forward", "backward", "both_ways"), F.lit(False))
+
+
+def is_positional(direction: Column) -> Column:
+    """Whether a direction is a side of the way."""
+    return F.coalesce(direction.isin("left", "right", "both"), F.lit(False))
+
+
+def opposite(direction: Column) -> Column:
+    """The other direction or side; null where there is none."""
+    pairs = (("forward", "backward"), ("backward", "forward"), ("left", "right"), ("right", "left"))
+    out = F.lit(None).cast("string")
+    for own, other in pairs:
+        out = F.when(direction == own, F.lit(other)).otherwise(out)
+    return out
+
+
+def runtime(vehicle: Column) -> Column:
+    """struct<mode, properties> of a trip's vehicle, struct<kind, height, width, weight, axle_load, length>: the mode whose rules hold, and what conditions
+    are held against; properties are null without any measure."""
+    mode = F.when(vehicle["kind"] == "bus", F.lit("bus")).when(vehicle["kind"] == "truck", F.lit("hgv")).otherwise(F.lit("motor_vehicle"))
+    names = [("height", "height"), ("width", "width"), ("weight", "weight"), ("axleload", "axle_load"), ("length", "length")]
+    given = F.map_from_entries(F.array_compact(F.array(*(F.when(vehicle[f].isNotNull(), F.struct(F.lit(n).alias("key"), vehicle[f].cast("double").alias("value"))) for n, f in names))))
+    return F.struct(mode.alias("mode"), F.when(F.size(given) > 0, given).alias("properties"))

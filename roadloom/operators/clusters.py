@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import cells
 from roadloom.operators.tables import written
 
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) of points (id, x, y) closer than eps, each point with itself, too."""
+def neighbours(points: DataFrame, eps: float, distance: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs (a, b) of points (id, x, y) closer than eps, each point with itself, too.  distance(ax, ay, bx, by) is the planar one unless given; another must
+    be no smaller than the difference in x and that in y, for points farther apart in either never meet."""
     cx, cy = F.floor(F.col("x") / eps).cast("long"), F.floor(F.col("y") / eps).cast("long")
     own = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cx.alias("cx"), cy.alias("cy"))
     wide = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(cx - 1, cx + 1)).alias("cx"), cy.alias("_cy")).withColumn("cy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)))
     far = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    return own.join(wide, ["cx", "cy"]).where(far < eps * eps).select("a", "b")
+    near = far < eps * eps if distance is None else distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < eps
+    return own.join(wide, ["cx", "cy"]).where(near).select("a", "b")
 
 
-def core_points(points: DataFrame, eps: float = 1.0, least: int = 10) -> DataFrame:
+def core_points(points: DataFrame, eps: float = 1.0, least: int = 10, distance: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
     """Points with at least `least` points, itself included, closer than eps."""
-    return neighbours(points, eps).groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("id"))
+    return neighbours(points, eps, distance).groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("id"))
 
 
-def dbscan(points: DataFrame, eps: float = 1.0, least: int = 10) -> DataFrame:
+def dbscan(points: DataFrame, eps: float = 1.0, least: int = 10, distance: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
     """(id, cluster) of the core points, the cluster being its smallest id; other points are noise.  Labels spread by joins, doubling their way each round."""
-    near = written(neighbours(points, eps))
+    near = written(neighbours(points, eps, distance))
     core = near.groupBy("a").count().where(F.col("count") >= least).select("a")
     links = written(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
     labels = written(core.select(F.col("a").alias("id"), F.col("a").alias("cluster")))

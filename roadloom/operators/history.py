@@ -52,3 +52,31 @@ def nearest_rank(rows: DataFrame, key: str, value: str, percents: tuple[int, ...
     """Nearest-rank percentiles, with count, least, most and mean."""
     picks = [F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents]
     return rows.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *picks)
+
+
+def paced(events: DataFrame, speed: float, ts: str = "ts") -> DataFrame:
+    """Events with due: seconds after a replay's start at which each is sent; without a speed above 0 all are due at once."""
+    if speed <= 0:
+        return events.withColumn("due", F.lit(0.0))
+    at = F.col(ts).cast("timestamp").cast("double")
+    first = events.agg(F.min(at).alias("_first"))
+    return events.crossJoin(F.broadcast(first)).withColumn("due", (at - F.col("_first")) / F.lit(float(speed))).drop("_first")  # a row of one number
+
+
+def sorted_out(rows: DataFrame, parsed: str) -> tuple[DataFrame, DataFrame]:
+    """Messages that were understood, and those that weren't, which are set aside instead of stopping a stream."""
+    return rows.where(F.col(parsed).isNotNull()), rows.where(F.col(parsed).isNull())
+
+
+def outcome(status: Column) -> Column:
+    """struct<matched, fatal>: a trip without a way or a road is nothing unusual; any other failure is."""
+    nominal = status.isin("solved", "unanchored", "disconnected", "unreachable")
+    return F.struct((status == "solved").alias("matched"), (~nominal).alias("fatal"))
+
+
+def store_statistics(events: DataFrame, recent_s: float = 3600.0) -> DataFrame:
+    """vehicles, total and recent: how many vehicles and events there are, and how many events of the last recent_s seconds."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    last = events.agg(F.max(at).alias("_last"))
+    own = events.crossJoin(F.broadcast(last))  # a row of one number
+    return own.agg(F.count_distinct("vehicle_id").alias("vehicles"), F.count("*").alias("total"), F.count_if(at > F.col("_last") - recent_s).alias("recent"))

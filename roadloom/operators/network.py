@@ -25,6 +25,32 @@ class Network:
         b = self.nodes.select(F.col("node_id").alias("target"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
         return self.edges.join(a, "source").join(b, "target")
 
+    def thin_edges(self, fat: DataFrame) -> DataFrame:
+        """Fat edges as ids and attributes again; all are outgoing."""
+        return fat.select("source", "target", "weight", "way_id", F.lit("Outgoing").alias("direction"))
+
+    def edge_between(self, pairs: DataFrame) -> DataFrame:
+        """pairs (source, target, ...) with the edge between them; pairs without one are left out."""
+        return pairs.join(self.edges, ["source", "target"])
+
+    def edge_details(self, pairs: DataFrame) -> DataFrame:
+        """pairs (source, target) with their edge's attributes: way, length in metres, number of lanes and the first limit in km/h; names are empty."""
+        own = self.edge_between(pairs.select("source", "target"))
+        own = Network(self.nodes, own).fat_edges().withColumn("metres", geo.haversine("lon1", "lat1", "lon2", "lat2"))
+        if self.way_meta is not None:
+            have = self.way_meta.columns
+            extra = [F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("lane_count", "int"), ("speed_kmh", "int"))]
+            own = own.join(self.way_meta.select("way_id", *extra), "way_id", "left")
+        else:
+            own = own.withColumns({"lane_count": F.lit(None).cast("int"), "speed_kmh": F.lit(None).cast("int")})
+        return own.select("source", "target", "way_id", "metres", "lane_count", "speed_kmh", F.array().cast("array<string>").alias("names"))
+
+    def supports(self, candidates: DataFrame) -> DataFrame:
+        """(trip, supported): whether this network knows both ends of every candidate edge (trip, source, target) of a trip."""
+        ends = candidates.select("trip", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+        known = self.nodes.select("node_id", F.lit(True).alias("_known"))
+        return ends.join(known, "node_id", "left").groupBy("trip").agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("supported"))
+
     def counts(self) -> DataFrame:
         n = self.nodes.agg(F.count("*").alias("num_nodes"))
         e = self.edges.agg(F.count("*").alias("num_edges"))

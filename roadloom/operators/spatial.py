@@ -123,3 +123,10 @@ def layer_pairs(cand: DataFrame, fanout: int | None = None) -> DataFrame:
         return pairs
     order = Window.partitionBy("trip", "layer", "a_node").orderBy("straight", "b_node")
     return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fanout).drop("_r")
+
+
+def display_order(cand: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Candidates (trip, layer, node, emission) by emission for display, each with its new place, and whether it is the one that chosen (trip, layer, node) has."""
+    place = (F.row_number().over(Window.partitionBy("trip", "layer").orderBy("emission", "node")) - 1).cast("int")
+    own = chosen.select("trip", "layer", "node", F.lit(True).alias("_chosen"))
+    return cand.withColumn("place", place).join(own, ["trip", "layer", "node"], "left").withColumn("chosen", F.coalesce("_chosen", F.lit(False))).drop("_chosen")

@@ -38,6 +38,20 @@ def row_key(x: Column, y: Column, zoom: int, day: Column) -> Column:
     return F.format_string("%012d/ex/%s", cells.hilbert(x, y, zoom), F.date_format(day, "yyMMdd"))
 
 
+def row_ranges(tiles: DataFrame, zoom: int, detail: int, first: str, last: str) -> DataFrame:
+    """tiles (x, y) of a zoom to the closed key ranges (x, y, start_key, end_key) of the finer tiles that hold their data, for a range of days."""
+    cell = F.explode(cells.tile_children(F.col("x"), F.col("y"), detail - zoom)).alias("t")
+    keys = [row_key(F.col("t.x"), F.col("t.y"), detail, F.lit(day).cast("date")) for day in (first, last)]
+    return tiles.select("x", "y", cell).select("x", "y", keys[0].alias("start_key"), keys[1].alias("end_key"))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows (row_key, ...) whose key is in one of the ranges: equi-joined on the key's cell, so that no range meets rows of other cells."""
+    cell = F.substring_index("row_key", "/", 1)
+    own = ranges.select(F.substring_index("start_key", "/", 1).alias("_cell"), "start_key", "end_key").distinct()
+    return rows.withColumn("_cell", cell).join(own, "_cell").where(F.col("row_key").between(F.col("start_key"), F.col("end_key"))).drop("_cell", "start_key", "end_key").distinct()
+
+
 def _varint(n: int) -> bytes:
     out = b""
     while True:

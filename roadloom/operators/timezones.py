@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import cells
@@ -72,3 +72,13 @@ def by_cells(points: DataFrame, zone_cells: DataFrame, depth: int = 13) -> DataF
 def settle_cells(claims: DataFrame) -> DataFrame:
     """claims (cell, tz_index, holds_centre): one zone a cell: one that holds its centre, else the first."""
     return claims.groupBy("cell").agg(F.min_by("tz_index", F.struct(~F.col("holds_centre"), "tz_index")).alias("tz_index"))
+
+
+def primary_offset(zone: Column) -> Column:
+    """struct<seconds, minutes, hours> of a zone's standard time: the smaller of the offsets in January and in July 2024; parts are cut."""
+    seconds = []
+    for day in ("2024-01-01 12:00:00", "2024-07-01 12:00:00"):
+        at = F.lit(day).cast("timestamp")
+        seconds.append((F.unix_timestamp(F.from_utc_timestamp(at, zone)) - F.unix_timestamp(at)).cast("int"))
+    least = F.least(*seconds)
+    return F.struct(least.alias("seconds"), (least / 60).cast("int").alias("minutes"), (least / 3600).cast("int").alias("hours"))

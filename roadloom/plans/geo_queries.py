@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import cells, geo, hashing
+from roadloom.operators import placement
 from roadloom.plans import bridge as B
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 BASE = B.BASE_SQL
 LETTERS = cells.BASE32
@@ -144,25 +145,32 @@ def vehicle_partition(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), hashing.vehicle_partition(F.col("c_custkey")).alias("partition"))
 
 
-@query()
+_MIX_M = _MIXED[_MIXED.index(", a as") + 2 :]
+
+
+@query(f"""with recursive n as (select c_name as t from customer union select n_name from nation),
+bytes as (select t, 1 as i, {hashing.FNV_OFFSET}::uhugeint as h from n
+union all select t, i + 1, (xor(h, ascii(substr(t, i, 1))::uhugeint) * {hashing.FNV_PRIME}::uhugeint) % {_M} from bytes where i <= length(t)),
+hash as (select t, h from bytes where i = length(t) + 1),
+x as (select row(c_custkey, n_name, s.h) as k, xor(h.h, s.h) as v from customer join hash h on h.t = c_name, nation join hash s on s.t = n_name),
+{_MIX_M}
+select k[1] as k, arg_max(k[2], (v, k[3])) as store from g group by k[1]""")
 def rendezvous_placement(spark: SparkSession, d: str) -> DataFrame:
     """Of the stores (nations), the one that each customer's history is kept on."""
     stores = B.read(spark, d, "nation").select(F.col("n_name").alias("store"), hashing.fnv1a64(F.col("n_name")).alias("seed"))
     keys = B.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), hashing.fnv1a64(F.col("c_name")).alias("h"))
-    each = keys.crossJoin(F.broadcast(stores)).select("k", "store", "seed", hashing.mix64(F.col("h").bitwiseXOR(F.col("seed"))).alias("m"))  # a fleet of stores, 25 rows
-    top = F.lit(-(2**63))
-    return each.groupBy("k").agg(F.max_by("store", F.struct(F.col("m").bitwiseXOR(top), F.col("seed").bitwiseXOR(top))).alias("store"))
+    return placement.placed(keys, stores, "k", "store")
 
 
 @query("select c_custkey as k, (c_custkey % 1024) // 171 as stream, 'EVENTS-RAW-' || ((c_custkey % 1024) // 171) as name, 'events.raw.p.' || (c_custkey % 1024) as subject from customer")
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("c_custkey") % 1024
-    s = F.floor(p / 171)  # ceil(1024 / 6 streams)
-    return B.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), s.alias("stream"), F.concat(F.lit("EVENTS-RAW-"), s.cast("string")).alias("name"), F.concat(F.lit("events.raw.p."), p.cast("string")).alias("subject"))
+    s = placement.stream_of(p, 6)
+    return B.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), s.alias("stream"), placement.stream_name(s).alias("name"), placement.subject(p).alias("subject"))
 
 
 @query("select n_nationkey as fleet, o as ordinal, o * (1024 // (n_nationkey + 1)) as first, case when o = n_nationkey then 1023 else (o + 1) * (1024 // (n_nationkey + 1)) - 1 end as last from nation, range(25) t(o) where o <= n_nationkey")
 def fleet_slices(spark: SparkSession, d: str) -> DataFrame:
     rows = B.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("fleet"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_nationkey").cast("long"))).alias("ordinal"))
-    chunk = F.floor(F.lit(1024) / (F.col("fleet") + 1))
-    return rows.select("fleet", "ordinal", (F.col("ordinal") * chunk).alias("first"), F.when(F.col("ordinal") == F.col("fleet"), F.lit(1023)).otherwise((F.col("ordinal") + 1) * chunk - 1).alias("last"))
+    first, last = placement.fleet_slice(F.col("ordinal"), F.col("fleet") + 1)
+    return rows.select("fleet", "ordinal", first.alias("first"), last.alias("last"))

@@ -9,7 +9,7 @@ from roadloom.functions import tags
 from roadloom.operators import network as N
 from roadloom.operators import reach, spatial, trellis
 from roadloom.plans import bridge as B
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 BASE = B.BASE_SQL
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions import hashing
 from roadloom.operators import history
 from roadloom.plans import bridge as B
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 _EV = "ev as (select user_id as vehicle_id, event_id as seq, ts, -118.3::double + 0.01::double * (event_id % 5) as lon, 33.9::double + 0.002::double * (floor(value * 100)::bigint % 4) as lat from events)"
 
@@ -85,13 +86,14 @@ def span_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(distinct user_id) as vehicles, count(*) as total, count(*) filter (where epoch(ts) > (select max(epoch(ts)) from events) - 3600) as recent from events")
 def store_statistics(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.read(spark, d, "events")
-    last = rows.agg(F.max(F.col("ts").cast("timestamp").cast("double")).alias("last"))
-    at = F.col("ts").cast("timestamp").cast("double")
-    return rows.crossJoin(F.broadcast(last)).agg(F.count_distinct("user_id").alias("vehicles"), F.count("*").alias("total"), F.count_if(at > F.col("last") - 3600).alias("recent"))  # a row of one number
+    return history.store_statistics(B.read(spark, d, "events").withColumnRenamed("user_id", "vehicle_id"))
 
 
-@query()
+@query(f"""with recursive n as (select distinct user_id, 'vehicle-' || user_id as t from events),
+b as (select user_id, t, 1 as i, {hashing.FNV_OFFSET}::uhugeint as h from n
+union all select user_id, t, i + 1, (xor(h, ascii(substr(t, i, 1))::uhugeint) * {hashing.FNV_PRIME}::uhugeint) % 18446744073709551616::uhugeint from b where i <= length(t)),
+v as (select user_id, (case when h >= 9223372036854775808::uhugeint then h::hugeint - 18446744073709551616::hugeint else h::hugeint end)::bigint as vehicle_id from b where i = length(t) + 1)
+select vehicle_id, date_trunc('second', ts) as ts, -118.3::double as lon, 33.9::double + value / 1e6 as lat from events join v using (user_id)""")
 def replay_parse(spark: SparkSession, d: str) -> DataFrame:
     from roadloom.sources.replay import replay_rows
 

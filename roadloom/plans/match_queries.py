@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators import costing, matching, spatial
 from roadloom.plans import bridge as B
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 BASE = f"{B.BASE_SQL}, {B.CANDIDATES_SQL}"
 

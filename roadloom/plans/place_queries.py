@@ -10,7 +10,7 @@ from roadloom.operators import clusters, shards, tiles, timezones
 from roadloom.operators.network import Network
 from roadloom.plans import bridge as B
 from roadloom.plans.geo_queries import _sql_geohash
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 BASE = B.BASE_SQL
 _BOX = (-118.29, 33.90, -118.26, 33.92)
@@ -108,7 +108,9 @@ def tile_range_filter(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "orders").where(rule).select(F.col("o_orderkey").alias("k"))
 
 
-@query()
+@query("""with recursive s as (select o_orderkey as k, o_orderdate as day, (o_orderkey % 1024)::bigint as x, (o_orderkey // 7 % 1024)::bigint as y, 0::bigint as d, 512::bigint as side from orders
+union all select k, day, case when ry = 0 then (case when rx = 1 then 1023 - y else y end) else x end, case when ry = 0 then (case when rx = 1 then 1023 - x else x end) else y end, d + side * side * xor(3 * rx, ry), side // 2
+from (select *, (x & side > 0)::bigint as rx, (y & side > 0)::bigint as ry from s where side > 0)) select k, lpad(d::varchar, 12, '0') || '/ex/' || strftime(day, '%y%m%d') as row_key from s where side = 0""")
 def tile_row_keys(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("o_orderkey") % 1024, F.floor(F.col("o_orderkey") / 7) % 1024
     return B.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), tiles.row_key(x, y, 10, F.col("o_orderdate")).alias("row_key"))

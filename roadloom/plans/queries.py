@@ -1,27 +1,8 @@
-"""Queries over the driver's tables for the operators of this library, with the SQL that each is held against."""
+"""All queries over the driver's tables for the operators of this library, with the SQL that each is held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from roadloom.plans import geo_queries, graph_queries, history_queries, match_queries, place_queries, service_queries, tag_queries
+from roadloom.plans.registry import ORACLE_SQL, QUERIES, query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its name, with SQL where there is any."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-from roadloom.plans import geo_queries, graph_queries, history_queries, match_queries, place_queries, tag_queries  # noqa: E402
-
-__all__ = ["ORACLE_SQL", "QUERIES", "geo_queries", "graph_queries", "history_queries", "match_queries", "place_queries", "query", "tag_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "geo_queries", "graph_queries", "history_queries", "match_queries", "place_queries", "query", "service_queries", "tag_queries"]

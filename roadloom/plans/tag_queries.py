@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import hours, tags
 from roadloom.plans import bridge as B
-from roadloom.plans.queries import query
+from roadloom.plans.registry import query
 
 _ACCESS = ("yes", "no", "private", "destination")
 

@@ -36,10 +36,16 @@ def test_cells(spark):
 
 def test_path_shapes(spark):
     assert abs(one(spark, costing.total_angle(points((0, 0), (0, 1), (1, 1)))) - 90) < 1
-    bend = points((-118.618033, 34.166292), (-118.623419, 34.164641), (-118.626895, 34.163434))
-    assert round(one(spark, costing.total_angle(bend)), 2) == 2.44
-    assert round(one(spark, costing.immediate_angle(bend)), 2) == 0.81
-    assert abs(one(spark, costing.complexity(bend)) - 0.9994) < 1e-3
+    bend = ((8.0, 50.0), (8.004, 50.001), (8.008, 50.0035))
+
+    def heading(a, b):
+        (x1, y1), (x2, y2) = (tuple(map(math.radians, p)) for p in (a, b))
+        return math.degrees(math.atan2(math.sin(x2 - x1) * math.cos(y2), math.cos(y1) * math.sin(y2) - math.sin(y1) * math.cos(y2) * math.cos(x2 - x1)))
+
+    turn = abs(heading(*bend[1:]) - heading(*bend[:2]))
+    assert 10 < turn < 30 and abs(one(spark, costing.total_angle(points(*bend))) - turn) < 1e-6
+    assert abs(one(spark, costing.immediate_angle(points(*bend))) - turn / 3) < 1e-6
+    assert abs(one(spark, costing.complexity(points(*bend))) - math.cos(math.radians(turn * 0.8))) < 1e-6
     assert one(spark, costing.complexity(points((0, 0), (0, 1)))) == 1.0
     assert one(spark, costing.complexity(points((0, 0), (0, 1), (0, 0.5)))) == 0.0
 

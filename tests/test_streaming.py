@@ -7,11 +7,12 @@ from roadloom.operators.network import Builder
 from roadloom.streaming import matcher
 
 T0 = dt.datetime(2026, 1, 1)
-POINTS = [(-118.151, 34.1503), (-118.155, 34.1503), (-118.165, 34.1503), (-118.170, 34.1490), (-118.172, 34.1403), (-118.179, 34.1403)]
+#: Along a road that climbs two steps to the north-east.
+POINTS = [(9.0002, 48.001), (9.0001, 48.005), (9.004, 48.0081), (9.010, 48.0079), (9.0121, 48.012), (9.018, 48.0161)]
 
 
-def bent(spark):
-    n = Builder().node(1, -118.15, 34.15).node(2, -118.16, 34.15).node(3, -118.17, 34.15).node(4, -118.17, 34.14).node(5, -118.18, 34.14)
+def stairs(spark):
+    n = Builder().node(1, 9.0, 48.0).node(2, 9.0, 48.008).node(3, 9.012, 48.008).node(4, 9.012, 48.016).node(5, 9.024, 48.016)
     return n.edge(1, 2).edge(2, 3).edge(3, 4).edge(4, 5).build(spark)
 
 
@@ -23,7 +24,7 @@ SCHEMA = "vehicle_id bigint, ts timestamp, lon double, lat double"
 
 
 def test_stream_ends_like_the_batch(spark, tmp_path):
-    network, folder = bent(spark), tmp_path / "in"
+    network, folder = stairs(spark), tmp_path / "in"
     for part, name in ((events()[:3], "a"), (events()[2:3] + events()[3:], "b")):  # the third event comes twice
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
         q = matcher.match_stream(spark.readStream.schema(SCHEMA).parquet(str(folder)), matcher.area_edges(network), gap_s=1e6, reach=3000.0)

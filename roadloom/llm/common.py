@@ -156,7 +156,9 @@ def ranked(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     ranges = held(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     start = ranges.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranges.join(start, "_part").withColumn(out, (F.col("_start") + place).cast("long")).drop("_part", "_start")
+    result = ranges.join(start, "_part").withColumn(out, (F.col("_start") + place).cast("long")).drop("_part", "_start")
+    result._under = ranges  # drop() may have it once the result is written
+    return result
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -218,8 +218,10 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
     again = found.groupBy("rk", "tk").agg(F.max("n").alias("n"), F.count("*").alias("c")).where("c > 1").select("rk", "tk", "n")
     again = held(again) if again.take(1) else None
     single = found if again is None else found.dropDuplicates(["rk", "tk"])
-    numbered = scratch.put(ranked(single, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d"))
+    placed = ranked(single, [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("rk")], "d")
     scratch.drop(found)
+    numbered = scratch.put(placed)
+    scratch.drop(placed._under)
     alone = _places(numbered).groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("last")).where("at = last")
     twice = numbered.join(_by_document(alone, "alone"), "d", "left").select("d", "rk", "tk", F.when(F.col("alone").isNull(), F.col("p")).otherwise(F.array_except("p", "alone")).alias("twice"))
     twice = scratch.put(twice.where("size(twice) > 0"))

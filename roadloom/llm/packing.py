@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from roadloom.llm.common import Scratch, lean, shuffle_partitions, table
 WINDOW, OPEN, TOLERANCE, END, FAN_IN = 2048, 64, 8, 1, 16
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, open boolean"
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 #: Letters that a tokenizer can't compose or lower in more than one way, and what may follow them.
@@ -87,7 +88,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if ODD_SPACE.search(text):
+        if any(c in text for c in ODD_SPACE):
             return self.plain(text) + self.end
         return b"".join(map(self.known.__getitem__, text.split())) + self.end
 
@@ -98,7 +99,8 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}  # one for each Python worker
 class Packer:
     def __init__(self, first_id: int, keep_ids: bool, window: int = WINDOW, open_windows: int = OPEN, tolerance: int = TOLERANCE):
         self.next, self.keep, self.window, self.most, self.tolerance = first_id, keep_ids, window, open_windows, tolerance
-        self.open: list[list] = []  # [room, pieces]
+        self.open: list[list] = []  # [room, number, pieces], in order
+        self.opened = 0
         self.out: list[tuple] = []
 
     def close(self, pieces: list[tuple], open_: bool = False) -> None:
@@ -114,33 +116,37 @@ class Packer:
             self.close([(doc_id, start, ids[: 4 * self.window], total)])
             start, ids, n = start + self.window, ids[4 * self.window :], n - self.window
         while n:
-            best = min((w for w in self.open if w[0] >= n), key=lambda w: w[0], default=None)
-            if best is None and len(self.open) < self.most:
-                self.open.append(best := [self.window, []])
-            if best is not None:
-                best[1].append((doc_id, start, ids, total))
-                best[0] -= n
-                if not best[0]:
-                    self.open.remove(best)
-                    self.close(best[1])
-                return
-            fullest = min(self.open, key=lambda w: w[0])
-            self.open.remove(fullest)
-            if (room := fullest[0]) > self.tolerance:
-                fullest[1].append((doc_id, start, ids[: 4 * room], total))
-                start, ids, n = start + room, ids[4 * room :], n - room
-            self.close(fullest[1])
+            i = bisect_left(self.open, [n])  # the window with the least room that has enough
+            if i < len(self.open):
+                best = self.open.pop(i)
+            elif len(self.open) < self.most:
+                best = [self.window, self.opened, []]
+                self.opened += 1
+            else:
+                fullest = self.open.pop(0)
+                if (room := fullest[0]) > self.tolerance:
+                    fullest[2].append((doc_id, start, ids[: 4 * room], total))
+                    start, ids, n = start + room, ids[4 * room :], n - room
+                self.close(fullest[2])
+                continue
+            best[2].append((doc_id, start, ids, total))
+            best[0] -= n
+            if best[0]:
+                insort(self.open, best)
+            else:
+                self.close(best[2])
+            return
 
     def leave(self) -> None:
         """The open windows, for the next level."""
-        for _, pieces in self.open:
+        for _, _, pieces in self.open:
             self.close(pieces, True)
         self.open = []
 
     def join(self) -> None:
         """The open windows end to end."""
         at, room = [], self.window
-        for doc_id, start, ids, total in (p for _, pieces in sorted(self.open, key=lambda w: w[0]) for p in pieces):
+        for doc_id, start, ids, total in (p for _, _, pieces in self.open for p in pieces):
             while len(ids):
                 head = ids[: 4 * room]
                 at.append((doc_id, start, head, total))

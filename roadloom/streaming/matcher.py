@@ -134,8 +134,8 @@ def _frame(vehicle: int, matched: list[tuple], revision, dropped: bool) -> pd.Da
     return pd.DataFrame({"vehicle_id": vehicle, "ts": [m[0] for m in matched], "revision": revision, "source": [m[1] for m in matched], "target": [m[2] for m in matched], "lon": [m[3] for m in matched], "lat": [m[4] for m in matched], "dropped": dropped})
 
 
-def processor(edges: pd.DataFrame, window: int = 30, gap_s: float = 120.0, jump_m: float = 2000.0, search: float = 50.0, reach: float = 1000.0, ttl_ms: int = 900_000):
-    """The stateful function of a stream; edges: fat edges with cm, of the area that the stream covers."""
+def processor(edges: pd.DataFrame, window: int = 30, gap_s: float = 120.0, jump_m: float = 2000.0, search: float = 50.0, reach: float = 1000.0, ttl_ms: int | None = 900_000):
+    """The stateful function of a stream; edges: fat edges with cm, of the area that the stream covers; ttl_ms: how long an idle vehicle is kept, None for ever."""
     roads: list[Roads] = []
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -150,16 +150,22 @@ def processor(edges: pd.DataFrame, window: int = 30, gap_s: float = 120.0, jump_
         matched, settled = roads[0].match(rows)
         keep = rows[settled:] if len(matched) == len(rows) else rows
         state.update(([r[0] for r in keep], [r[1] for r in keep], [r[2] for r in keep]))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         if matched:
             yield _frame(key[0], matched, rows[-1][0], len(rows) < len(history) + len(fresh))
 
     return run
 
 
-def match_stream(events: DataFrame, edges: pd.DataFrame, **options) -> DataFrame:
-    """A streaming DataFrame (vehicle_id, ts, lon, lat) to emissions."""
-    return events.groupBy("vehicle_id").applyInPandasWithState(processor(edges, **options), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def match_stream(events: DataFrame, edges: pd.DataFrame, ttl_ms: int | None = 900_000, **options) -> DataFrame:
+    """A streaming DataFrame (vehicle_id, ts, lon, lat) to emissions.
+
+    With a ttl_ms the stream asks for batch after batch to evict idle vehicles, so a run that is to end with its input (availableNow) never would: such a run
+    takes ttl_ms=None, or spark.sql.streaming.noDataMicroBatches.enabled=false.
+    """
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("vehicle_id").applyInPandasWithState(processor(edges, ttl_ms=ttl_ms, **options), OUT, STATE, "append", timeout)
 
 
 #: Edges of an area that are sent to every task of a stream at most; larger areas are split by shard, a stream each.

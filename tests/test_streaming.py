@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom.operators import history
@@ -27,9 +28,9 @@ def test_stream_ends_like_the_batch(spark, tmp_path):
     network, folder = stairs(spark), tmp_path / "in"
     for part, name in ((events()[:3], "a"), (events()[2:3] + events()[3:], "b")):  # the third event comes twice
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
-        q = matcher.match_stream(spark.readStream.schema(SCHEMA).parquet(str(folder)), matcher.area_edges(network), gap_s=1e6, reach=3000.0)
+        q = matcher.match_stream(spark.readStream.schema(SCHEMA).parquet(str(folder)), matcher.area_edges(network), ttl_ms=None, gap_s=1e6, reach=3000.0)
         run = q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).outputMode("append").start()
-        run.awaitTermination(120)
+        assert run.awaitTermination(120)
     out = history.merged(spark.read.parquet(str(tmp_path / "out")))
     whole = matcher.match_batch(spark.createDataFrame(events(), SCHEMA), network, reach=3000.0)
 
@@ -39,6 +40,39 @@ def test_stream_ends_like_the_batch(spark, tmp_path):
     assert rows(out) == rows(whole) and len(rows(whole)) == 6
 
 
+class State:
+    """What the stream's function sees of a vehicle's state."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.get, self.hasTimedOut, self.ttl = value, timed_out, None
+
+    @property
+    def exists(self):
+        return self.get is not None
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutDuration(self, ms):
+        self.ttl = ms
+
+
+def test_idle_vehicles_are_forgotten(spark):
+    edges = matcher.area_edges(stairs(spark))
+    run, state = matcher.processor(edges, ttl_ms=5000, gap_s=1e6, reach=3000.0), State()
+    frame = pd.DataFrame(events(), columns=["vehicle_id", "ts", "lon", "lat"])
+    (out,) = run((7,), iter([frame]), state)
+    assert len(out) == 6 and state.ttl == 5000 and state.exists
+    state.hasTimedOut = True
+    assert not list(run((7,), iter([]), state)) and not state.exists
+    kept = State()
+    list(matcher.processor(edges, ttl_ms=None, gap_s=1e6, reach=3000.0)((7,), iter([frame]), kept))
+    assert kept.exists and kept.ttl is None
+
+
 def test_late_events_and_gaps():
     a = [(T0 + dt.timedelta(seconds=s), 0.0, 0.0) for s in (0, 10, 20)]
     assert matcher.context(a, [(T0 + dt.timedelta(seconds=5), 0.0, 0.0)], 30, 120, 2000) == a

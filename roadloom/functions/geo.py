@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -55,20 +55,36 @@ def along(lon, lat, lon1, lat1, lon2, lat2) -> Column:
     return F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c(lon) - c(lon1)) * dx + (c(lat) - c(lat1)) * dy) / square)))
 
 
-def interpolated(lon1, lat1, lon2, lat2, fraction) -> tuple[Column, Column]:
-    """The point at a fraction of the great circle between two points."""
+def _shares(f: Column, d: Column) -> tuple[Column, Column]:
+    """Weights of both ends of an arc of d radians for the point at a fraction of it."""
+    return F.sin((1 - f) * d) / F.sin(d), F.sin(f * d) / F.sin(d)
+
+
+def _vector(p: Column, q: Column, lon1, lat1, lon2, lat2) -> tuple[Column, Column, Column]:
     a, b, x, y = F.radians(c(lat1)), F.radians(c(lat2)), F.radians(c(lon1)), F.radians(c(lon2))
-    d = haversine(lon1, lat1, lon2, lat2) / F.lit(EARTH_RADIUS)
-    f = c(fraction)
-    s = F.sin(d)
-    p, q = F.sin((1 - f) * d) / s, F.sin(f * d) / s
-    px, py = p * F.cos(a) * F.cos(x) + q * F.cos(b) * F.cos(y), p * F.cos(a) * F.sin(x) + q * F.cos(b) * F.sin(y)
-    pz = p * F.sin(a) + q * F.sin(b)
-    at_end = (d == 0) | (f == 0)
-    return (
-        F.when(at_end, c(lon1)).when(f == 1, c(lon2)).otherwise(F.degrees(F.atan2(py, px))),
-        F.when(at_end, c(lat1)).when(f == 1, c(lat2)).otherwise(F.degrees(F.atan2(pz, F.sqrt(px * px + py * py)))),
-    )
+    return p * F.cos(a) * F.cos(x) + q * F.cos(b) * F.cos(y), p * F.cos(a) * F.sin(x) + q * F.cos(b) * F.sin(y), p * F.sin(a) + q * F.sin(b)
+
+
+def _or_end(f: Column, d: Column, first, last, between: Column) -> Column:
+    return F.when((d == 0) | (f == 0), c(first)).when(f == 1, c(last)).otherwise(F.degrees(between))
+
+
+def interpolated(lon1, lat1, lon2, lat2, fraction) -> tuple[Column, Column]:
+    """The point at a fraction of the great circle between two points.  For whole tables, with_interpolated() works out each step once."""
+    d, f = haversine(lon1, lat1, lon2, lat2) / F.lit(EARTH_RADIUS), c(fraction)
+    x, y, z = _vector(*_shares(f, d), lon1, lat1, lon2, lat2)
+    return _or_end(f, d, lon1, lon2, F.atan2(y, x)), _or_end(f, d, lat1, lat2, F.atan2(z, F.sqrt(x * x + y * y)))
+
+
+def with_interpolated(df: DataFrame, lon: str, lat: str, line: tuple[str, str, str, str], fraction: str) -> DataFrame:
+    """df with interpolated() as columns lon and lat, in named steps: as one expression the branches would repeat them all."""
+    f, d = F.col(fraction), F.col("_d")
+    df = df.withColumn("_d", haversine(*line) / F.lit(EARTH_RADIUS))
+    df = df.withColumns(dict(zip(("_p", "_q"), _shares(f, d), strict=True)))
+    df = df.withColumns(dict(zip(("_x", "_y", "_z"), _vector(F.col("_p"), F.col("_q"), *line), strict=True)))
+    x, y = F.col("_x"), F.col("_y")
+    df = df.withColumns({lon: _or_end(f, d, line[0], line[2], F.atan2(y, x)), lat: _or_end(f, d, line[1], line[3], F.atan2(F.col("_z"), F.sqrt(x * x + y * y)))})
+    return df.drop("_d", "_p", "_q", "_x", "_y", "_z")
 
 
 def deviance(straight, route) -> Column:

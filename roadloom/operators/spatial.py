@@ -27,16 +27,24 @@ def _margins(lat: Column, distance: float) -> tuple[Column, Column]:
     return F.lit(dy) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.99), F.abs(lat) + F.lit(2 * dy))))), F.lit(dy)
 
 
+_BOX = ("_west", "_east", "_south", "_north")
+
+
+def _boxed(points: DataFrame, distance: float, size: float) -> DataFrame:
+    """Points with their cell and the bounds of their box: worked out once a point, so that a pair costs comparisons alone."""
+    hx, hy = geo.half_box("lat", distance)
+    lon, lat = F.col("lon"), F.col("lat")
+    return points.withColumns({"_cx": _cell(lon, size), "_cy": _cell(lat, size), "_west": lon - hx, "_east": lon + hx, "_south": lat - hy, "_north": lat + hy})
+
+
 def edges_near(points: DataFrame, fat_edges: DataFrame, distance: float, size: float = CELL) -> DataFrame:
     """Every point (lon, lat, ...) with each edge whose envelope meets the point's box.  Only edges are dealt to several cells, so no pair comes twice."""
     x1, x2 = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
     y1, y2 = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     dx, dy = _margins(F.greatest(F.abs(y1), F.abs(y2)), distance)
     dealt = fat_edges.withColumn("_cx", F.explode(_covered(x1 - dx, x2 + dx, size))).withColumn("_cy", F.explode(_covered(y1 - dy, y2 + dy, size)))
-    own = points.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size))
-    hx, hy = geo.half_box("lat", distance)
-    meets = (x1 <= F.col("lon") + hx) & (x2 >= F.col("lon") - hx) & (y1 <= F.col("lat") + hy) & (y2 >= F.col("lat") - hy)
-    return own.join(dealt, ["_cx", "_cy"]).where(meets).drop("_cx", "_cy")
+    meets = (x1 <= F.col("_east")) & (x2 >= F.col("_west")) & (y1 <= F.col("_north")) & (y2 >= F.col("_south"))
+    return _boxed(points, distance, size).join(dealt, ["_cx", "_cy"]).where(meets).drop("_cx", "_cy", *_BOX)
 
 
 def nodes_near(points: DataFrame, nodes: DataFrame, distance: float, size: float = CELL) -> DataFrame:
@@ -44,10 +52,8 @@ def nodes_near(points: DataFrame, nodes: DataFrame, distance: float, size: float
     dx, dy = _margins(F.col("node_lat"), distance)
     near = nodes.select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"))
     dealt = near.withColumn("_cx", F.explode(_covered(F.col("node_lon") - dx, F.col("node_lon") + dx, size))).withColumn("_cy", F.explode(_covered(F.col("node_lat") - dy, F.col("node_lat") + dy, size)))
-    own = points.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size))
-    hx, hy = geo.half_box("lat", distance)
-    inside = (F.abs(F.col("node_lon") - F.col("lon")) <= hx) & (F.abs(F.col("node_lat") - F.col("lat")) <= hy)
-    return own.join(dealt, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    inside = F.col("node_lon").between(F.col("_west"), F.col("_east")) & F.col("node_lat").between(F.col("_south"), F.col("_north"))
+    return _boxed(points, distance, size).join(dealt, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy", *_BOX)
 
 
 def in_box(rows: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -84,8 +90,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float = CE
 def projected(points: DataFrame, fat_edges: DataFrame, distance: float) -> DataFrame:
     """edges_near with the point's projection on the edge: fraction, px, py and metres; edges without length are left out."""
     near = edges_near(points, fat_edges, distance).withColumn("fraction", geo.along("lon", "lat", "lon1", "lat1", "lon2", "lat2")).where("fraction is not null")
-    px, py = geo.interpolated("lon1", "lat1", "lon2", "lat2", "fraction")
-    near = near.withColumn("px", px).withColumn("py", py)
+    near = geo.with_interpolated(near, "px", "py", ("lon1", "lat1", "lon2", "lat2"), "fraction")
     return near.withColumn("metres", geo.haversine("lon", "lat", "px", "py"))
 
 

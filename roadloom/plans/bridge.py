@@ -34,7 +34,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = ways.join(part.select(F.col("k").alias("to")), "to")
     ahead = F.struct(F.col("k").alias("source"), F.col("to").alias("target"))
     back = F.struct(F.col("to").alias("source"), F.col("k").alias("target"))
-    return ways.select(F.explode(F.when(F.col("p_size") % 7 == 0, F.array(ahead)).otherwise(F.array(ahead, back))).alias("x"), "weight", "way_id").select("x.source", "x.target", "weight", "way_id", F.lit("Outgoing").alias("direction"))
+    out = ways.select(F.explode(F.when(F.col("p_size") % 7 == 0, F.array(ahead)).otherwise(F.array(ahead, back))).alias("x"), "weight", "way_id").select("x.source", "x.target", "weight", "way_id", F.lit("Outgoing").alias("direction"))
+    # part is one small file: without this, one task would work through all that is joined to its roads
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
 
 
 def network(spark: SparkSession, sf_dir: str) -> Network:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +17,15 @@ def boxes(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"west": F.array_min(lon), "east": F.array_max(lon), "south": F.array_min(lat), "north": F.array_max(lat)})
 
 
-def inside(x: float, y: float, ring: np.ndarray) -> bool:
-    """Whether a ring holds a point, by crossings."""
-    a, b = ring, np.roll(ring, -1, 0)
-    cut = (a[:, 1] > y) != (b[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return bool((cut & (x < at)).sum() % 2)
+def inside(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a ring (array<struct<lon, lat>>, closed or not) holds a point, by crossings."""
+
+    def crossed(a: Column, i: Column) -> Column:
+        b = F.get(ring, F.when(i + 1 == F.size(ring), F.lit(0)).otherwise(i + 1))
+        at = (b["lon"] - a["lon"]) * (y - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]
+        return F.when((a["lat"] > y) != (b["lat"] > y), x < at).otherwise(F.lit(False))
+
+    return F.size(F.filter(ring, crossed)) % 2 == 1
 
 
 def _near(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -38,19 +38,9 @@ def _near(points: DataFrame, zones: DataFrame) -> DataFrame:
 def exact(points: DataFrame, zones: DataFrame) -> DataFrame:
     """points (key, lon, lat) with every zone whose polygons hold them; points in none are left out."""
 
-    def keep(batches):
-        for f in batches:
-            hit = []
-            for x, y, polygons in zip(f["lon"], f["lat"], f["polygons"], strict=True):
-                found = False
-                for rings in polygons:
-                    shapes = [np.array([[p["lon"], p["lat"]] for p in r], float) for r in rings]
-                    found = found or (inside(x, y, shapes[0]) and not any(inside(x, y, s) for s in shapes[1:]))
-                hit.append(found)
-            yield pd.DataFrame({"key": f["key"], "tzid": f["tzid"]})[np.array(hit, bool)]
-
-    kind = points.schema["key"].dataType.simpleString()
-    return _near(points, zones).select("key", "lon", "lat", "tzid", "polygons").mapInPandas(keep, f"key {kind}, tzid string")
+    x, y = F.col("lon"), F.col("lat")
+    held = F.exists("polygons", lambda rings: inside(x, y, F.get(rings, F.lit(0))) & ~F.exists(F.slice(rings, 2, F.size(rings)), lambda hole: inside(x, y, hole)))
+    return _near(points, zones).where(held).select("key", "tzid")
 
 
 def nearest_box(points: DataFrame, zones: DataFrame) -> DataFrame:

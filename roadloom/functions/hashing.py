@@ -27,11 +27,16 @@ def _fnv1a(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore").astype("Int64")
 
 
-def _mix(values: pd.Series) -> pd.Series:
-    x = values.fillna(0).to_numpy(np.int64).astype(np.uint64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers, mixed."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
-    return pd.Series((x ^ (x >> np.uint64(31))).astype(np.int64)).where(values.notna().to_numpy()).astype("Int64")
+    return x ^ (x >> np.uint64(31))
+
+
+def _mix(values: pd.Series) -> pd.Series:
+    x = mixed(values.fillna(0).to_numpy(np.int64).astype(np.uint64))
+    return pd.Series(x.astype(np.int64)).where(values.notna().to_numpy()).astype("Int64")
 
 
 def fnv1a64(text: Column) -> Column:

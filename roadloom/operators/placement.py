@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,24 @@ def fleet_slice(ordinal: Column, fleet: Column) -> list[Column]:
 
 def placed(keys: DataFrame, stores: DataFrame, key: str, name: str) -> DataFrame:
     """keys (key, h) and stores (store, seed) to the store of each key: the largest mixed hash of both as unsigned numbers, then the largest seed.  A fleet's
-    stores are few; they are listed with every key instead of being joined, and the best of them found within the row."""
-    top = F.lit(-(2**63))
-    few = stores.agg(F.collect_list(F.struct("seed", F.col(name).alias("store"))).alias("_stores"))
-    each = keys.crossJoin(F.broadcast(few)).select(key, F.col("h"), F.explode("_stores").alias("s"))
-    each = each.select(key, "s", hashing.mix64(F.col("h").bitwiseXOR(F.col("s.seed"))).alias("m"))
-    return each.groupBy(key).agg(F.max_by("s.store", F.struct(F.col("m").bitwiseXOR(top), F.col("s.seed").bitwiseXOR(top))).alias(name))
+    stores are few: tasks hold their seeds and find the best within the row, so a key is never multiplied by them."""
+    few = sorted({(r["seed"], r[name]) for r in stores.select("seed", name).collect()}, key=lambda r: r[0] % 2**64, reverse=True)
+    if not few:
+        return keys.limit(0).select(key, F.lit(None).cast(stores.schema[name].dataType).alias(name))
+    seeds = np.array([seed for seed, _ in few], np.int64).astype(np.uint64)
+
+    def best(h: pd.Series, known: pd.Series) -> pd.DataFrame:
+        """The place of the best store, and its mixed hash with the sign bit turned, so that signed order is that of unsigned numbers."""
+        known = known.to_numpy(bool)
+        mixed = hashing.mixed(h.to_numpy(np.int64).astype(np.uint64)[:, None] ^ seeds)
+        at = np.where(known, mixed.argmax(1), 0)  # the first of equals has the largest seed
+        m = (mixed[np.arange(len(at)), at] ^ np.uint64(2**63)).astype(np.int64)
+        return pd.DataFrame({"at": at.astype(np.int32), "m": pd.Series(m).where(known).astype("Int64")})
+
+    # a column with nulls would come as doubles, which lose bits
+    h = F.coalesce(F.col("h").cast("long"), F.lit(0).cast("long"))
+    each = keys.select(key, F.pandas_udf(best, "at int, m bigint")(h, F.col("h").isNotNull()).alias("b"))
+    # a key that comes with several hashes has one store: that of the largest mixed hash
+    one = each.groupBy(key).agg(F.max(F.struct("b.m", (-F.col("b.at")).alias("at"))).alias("b"))
+    names = F.array(*(F.lit(store) for _, store in few))
+    return one.select(key, F.element_at(names, F.lit(1) - F.col("b.at")).cast(stores.schema[name].dataType).alias(name))

@@ -159,7 +159,7 @@ def reach_paths(spark: SparkSession, d: str) -> DataFrame:
 def route_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = B.network(spark, d)
     pairs = n.nodes.select(F.col("node_id").alias("root"), (F.col("node_id") + 3).alias("dest"))
-    return reach.routes(pairs, n.edges).select("root", "dest", "cost")
+    return reach.routes(pairs, n.edges, n.nodes).select("root", "dest", "cost")
 
 
 _LINES = "select user_id as key, list(1 + (event_id * 13) % (select count(*) from part) order by ts, event_id) as ids from steps group by user_id"

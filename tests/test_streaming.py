@@ -86,3 +86,19 @@ def test_history_operators(spark):
     assert sorted(r["seq"] for r in history.fresh(rows).collect()) == [1, 3]
     trip, past = F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (2, 3, 4)))
     assert spark.range(1).select(history.overlap(trip, past).alias("k")).first()["k"] == 2
+
+
+def test_a_batch_needs_no_area(spark, monkeypatch):
+    """A table's vehicles are matched by groups, each with the edges around it; the network as a whole may be larger than a stream's area."""
+    network = stairs(spark)
+    far = [(8, T0 + dt.timedelta(seconds=10 * i), x, y) for i, (x, y) in enumerate(POINTS[::-1])] + [(9, T0, 9.02, 48.016), (9, T0 + dt.timedelta(seconds=9), 120.0, 10.0)]
+    table = spark.createDataFrame(events() + far, SCHEMA)
+    roads = matcher.Roads(matcher.area_edges(network), 50.0, 3000.0)
+    want = set()
+    for vehicle in (7, 8, 9):
+        rows = matcher.context([], [(r["ts"], r["lon"], r["lat"]) for r in table.where(F.col("vehicle_id") == vehicle).collect()], 10**9, 1e12, 2000.0)
+        want |= {(vehicle, source, target, lon, lat) for _, source, target, lon, lat in roads.match(rows)[0]}
+    monkeypatch.setattr(matcher, "MOST_EDGES", 1)
+    monkeypatch.setattr(matcher, "EVENTS", 5)
+    got = matcher.match_batch(table, network, reach=3000.0).collect()
+    assert want and {(r["vehicle_id"], r["source"], r["target"], r["lon"], r["lat"]) for r in got} == want

@@ -63,6 +63,16 @@ def in_box(rows: DataFrame, west: float, south: float, east: float, north: float
     return rows.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
+def _nearest_listed(points: DataFrame, near: DataFrame, key: str, width: float) -> DataFrame:
+    """Each key's nearest node as a struct b, of the nodes in its cell and those around."""
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    dealt = near.withColumn("_cx", F.explode(F.transform(around, lambda i: _cell(F.col("_nx"), width) + i))).withColumn("_cy", F.explode(F.transform(around, lambda i: _cell(F.col("_ny"), width) + i)))
+    lists = dealt.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("_nx", "_ny", "node_id")).alias("_n"))
+    own = points.withColumn("_cx", _cell(F.col("lon"), width)).withColumn("_cy", _cell(F.col("lat"), width)).join(lists, ["_cx", "_cy"])
+    each = F.transform("_n", lambda n: F.struct(F.sqrt(F.pow(n["_nx"] - F.col("lon"), 2) + F.pow(n["_ny"] - F.col("lat"), 2)).alias("distance"), n["node_id"].alias("node_id")))
+    return own.select(key, F.array_min(each).alias("b")).groupBy(key).agg(F.min("b").alias("b"))
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float = CELL, rings: int = 12) -> DataFrame:
     """key, node_id and planar distance (degrees) of the nearest node, ties to the smaller id.
 
@@ -72,11 +82,14 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float = CE
     found, left, width = None, points.select(key, "lon", "lat"), size
     near = nodes.select("node_id", F.col("lon").alias("_nx"), F.col("lat").alias("_ny"))
     for ring in range(rings):
+        if ring == 0:  # few nodes are near: they are listed by cell, so that points are neither multiplied nor sorted with each of them
+            best = _nearest_listed(left, near, key, width)
         own = left.withColumn("_cx", F.explode(F.sequence(_cell(F.col("lon"), width) - 1, _cell(F.col("lon"), width) + 1)))
         own = own.withColumn("_cy", F.explode(F.sequence(_cell(F.col("lat"), width) - 1, _cell(F.col("lat"), width) + 1)))
         dealt = near.withColumn("_cx", _cell(F.col("_nx"), width)).withColumn("_cy", _cell(F.col("_ny"), width))
         d = F.sqrt(F.pow(F.col("_nx") - F.col("lon"), 2) + F.pow(F.col("_ny") - F.col("lat"), 2))
-        best = own.join(dealt, ["_cx", "_cy"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), "node_id")).alias("b"))
+        if ring > 0:
+            best = own.join(dealt, ["_cx", "_cy"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), "node_id")).alias("b"))
         done = best.where(F.col("b.distance") <= width).select(key, F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance"))
         done = done.cache()
         found = done if found is None else found.union(done)
